@@ -6,14 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .packing import op4_packing
 from .sentencepiece_codec import op1_sentencepiece
 from .token_count import op2_token_counts
+from .toxicity import op10_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sentencepiece": op1_sentencepiece,
         "op2_token_counts": op2_token_counts,
+        "op4_packing": op4_packing,
+        "op10_toxicity": op10_toxicity,
     }
 
 
