@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .packing import op4_packing
+from .quality import op8_quality
 from .sentencepiece_codec import op1_sentencepiece
 from .token_count import op2_token_counts
 from .toxicity import op10_toxicity
@@ -17,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_sentencepiece": op1_sentencepiece,
         "op2_token_counts": op2_token_counts,
         "op4_packing": op4_packing,
+        "op8_quality": op8_quality,
         "op10_toxicity": op10_toxicity,
     }
 
