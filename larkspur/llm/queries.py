@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import licences
+from .licences import op5_licences
 from .packing import op4_packing
 from .quality import op8_quality
 from .sentencepiece_codec import op1_sentencepiece
@@ -18,10 +20,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_sentencepiece": op1_sentencepiece,
         "op2_token_counts": op2_token_counts,
         "op4_packing": op4_packing,
+        "op5_licences": op5_licences,
         "op8_quality": op8_quality,
         "op10_toxicity": op10_toxicity,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op5_licences": licences.oracle(),
+    }
