@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licences
+from . import embeddings, licences
+from .embeddings import op7_embeddings
+from .fingerprint import op3_fingerprint
 from .licences import op5_licences
 from .packing import op4_packing
 from .quality import op8_quality
@@ -19,8 +21,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sentencepiece": op1_sentencepiece,
         "op2_token_counts": op2_token_counts,
+        "op3_fingerprint": op3_fingerprint,
         "op4_packing": op4_packing,
         "op5_licences": op5_licences,
+        "op7_embeddings": op7_embeddings,
         "op8_quality": op8_quality,
         "op10_toxicity": op10_toxicity,
     }
@@ -29,4 +33,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op5_licences": licences.oracle(),
+        "op7_embeddings": embeddings.ORACLE,
     }
