@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embeddings, licences
+from . import embeddings, licences, near_dedup
 from .embeddings import op7_embeddings
 from .fingerprint import op3_fingerprint
 from .licences import op5_licences
+from .near_dedup import op6_near_dedup
 from .packing import op4_packing
 from .quality import op8_quality
 from .sentencepiece_codec import op1_sentencepiece
@@ -24,6 +25,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_fingerprint": op3_fingerprint,
         "op4_packing": op4_packing,
         "op5_licences": op5_licences,
+        "op6_near_dedup": op6_near_dedup,
         "op7_embeddings": op7_embeddings,
         "op8_quality": op8_quality,
         "op10_toxicity": op10_toxicity,
@@ -33,5 +35,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op5_licences": licences.oracle(),
+        "op6_near_dedup": near_dedup.ORACLE,
         "op7_embeddings": embeddings.ORACLE,
     }
