@@ -35,6 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .bpe_merge import PairTable, merge_words
 from .shared import Scratch, is_plain, map_arrow, texts_of
 
 #: The word split over lower-cased texts for which is_plain() holds.
@@ -63,6 +64,29 @@ class WordEncoder:
         self.split = kinds == ["NFC", "Replace", "Lowercase"] and pre == ["Removed", False]
         self.specials = [t["content"] for t in spec.get("added_tokens", [])]
         self.known: dict[str, bytes] = {}
+        if self.split:
+            vocab, pairs = spec["model"]["vocab"], {}
+            for rank, merge in enumerate(spec["model"]["merges"]):
+                a, b = merge if isinstance(merge, list) else merge.split(" ")
+                pairs.setdefault((vocab[a], vocab[b]), (rank, vocab[a + b]))
+            self.table = PairTable(pairs)
+            shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves
+            other = [b for b in range(256) if b not in shown]
+            sign = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(other)}
+            end = spec["model"]["end_of_word_suffix"]
+            self.inner = np.array([vocab[sign[b]] for b in range(256)], np.int32)
+            self.last = np.array([vocab[sign[b] + end] for b in range(256)], np.int32)
+
+    def words(self, words: list[str]) -> list[bytes]:
+        """Ids of single words, all merged together."""
+        coded = [w.encode() for w in words]
+        lens = np.fromiter(map(len, coded), np.int64, len(coded))
+        raw = np.frombuffer(b"".join(coded), np.uint8)
+        symbols, last = self.inner[raw], np.cumsum(lens) - 1
+        symbols[last] = self.last[raw[last]]
+        ids, n = merge_words(symbols, lens, self.table)
+        flat, ends = ids.astype("<u4").tobytes(), (4 * np.cumsum(n)).tolist()
+        return [flat[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, "<u4").tobytes() for x in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
@@ -82,7 +106,8 @@ class WordEncoder:
         if len(self.known) > CACHE:
             self.known.clear()
         new = list({w for _, words in cut for w in words if w not in self.known})
-        self.known.update(zip(new, self.whole(new), strict=True))
+        if new:
+            self.known.update(zip(new, self.words(new), strict=True))
         for i, words in cut:
             out[i] = b"".join(map(self.known.__getitem__, words))
         return out
