@@ -14,6 +14,7 @@ from .near_dedup import op6_near_dedup
 from .packing import op4_packing
 from .quality import op8_quality
 from .sentencepiece_codec import op1_sentencepiece
+from .suffixes import op9_suffixes
 from .token_count import op2_token_counts
 from .toxicity import op10_toxicity
 
@@ -28,6 +29,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_near_dedup": op6_near_dedup,
         "op7_embeddings": op7_embeddings,
         "op8_quality": op8_quality,
+        "op9_suffixes": op9_suffixes,
         "op10_toxicity": op10_toxicity,
     }
 
