@@ -1,0 +1,2 @@
+"""Streams here are batches of a finite table (`sources.files.Dataset.to_batches`);
+there is no event-time processing in the capabilities this library covers."""
