@@ -31,7 +31,7 @@ from .shared import texts_of
 SAMPLES = 48
 #: Cells of equal width in the histogram of doc_id, and document ranges per shuffle partition.
 CELLS, RANGES = 1 << 16, 8
-_OWN = "\x00"  # begins the entries that carry a document's own values
+_OWN = " "  # begins the entries that carry a document's own values; no term holds a space
 
 
 def ranges(ids: DataFrame, n: int) -> tuple[Column, Column, Column] | None:

@@ -29,7 +29,7 @@ MAX_KNOWN = 100_000
 CLAIM = r"(^|\n)[^a-z0-9\n]*(copyright|\(c\)|©|all rights reserved)[^\n]*"
 SEPARATOR = "[\\x00-/:-@\\[-`{-\\x7f©«»“”‘’–—…]+"
 SPELLINGS = [
-    ("licence", "license"), ("licences", "licenses"), ("licenced", "licensed"), ("sub license", "sublicense"),
+    ("licence", "license"), ("licences", "licenses"), ("licenced", "licensed"), ("sublicence", "sublicense"), ("sub license", "sublicense"),
     ("non commercial", "noncommercial"), ("non infringement", "noninfringement"), ("merchantibility", "merchantability"),
     ("acknowledgement", "acknowledgment"), ("favour", "favor"), ("organisation", "organization"), ("whilst", "while"),
     ("https", "http"), ("copyright owner", "copyright holder"), ("copyright owners", "copyright holders"),

@@ -260,11 +260,8 @@ def _configure(groups: list[list[tuple[int, int]]], size: int) -> list[tuple[int
                     lengths += [n] * times
                 else:
                     step = 1
-                    at = 0
-                    for _ in range(times):
-                        while sum(1 for y in lengths if y == queues[k][at][0]) >= queues[k][at][1]:
-                            at += 1
-                        lengths.append(queues[k][at][0])
+                    front = (n for n, c in queues[k] for _ in range(min(c, times)))
+                    lengths += [next(front) for _ in range(times)]
             for k, times in heads.items():
                 take = times * step
                 while take:
