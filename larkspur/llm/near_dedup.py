@@ -141,11 +141,14 @@ def leaves(classes: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
 
     large = held.where(F.col("n") > SMALL).select("c", "tree").join(classes.select("c", "sig"), "c")
     rows = scratch.save(map_arrow(large, further, "c long, " + ", ".join(f"d{d} long" for d in deeper), 8192), "deep")
+    # each level is written, which keeps the plans that the driver holds small
     for d in deeper:
+        if rows.isEmpty():
+            break
         size = rows.groupBy(f"d{d}").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        rows = rows.join(size, f"d{d}")
-        small = small.unionByName(rows.where(F.col("n") <= SMALL).select(F.col(f"d{d}").alias("leaf"), "c"))
-        rows = rows.where(F.col("n") > SMALL).drop("n")
+        level = scratch.save(rows.join(size, f"d{d}"), f"level-{d}")
+        small = small.unionByName(level.where(F.col("n") <= SMALL).select(F.col(f"d{d}").alias("leaf"), "c"))
+        rows = level.where(F.col("n") > SMALL).drop("n")
     return small, rows.select(F.col(f"d{DEPTH}").alias("leaf"), "c")
 
 
@@ -275,9 +278,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     small, large = leaves(classes, scratch)
     share = percent / 100
     least = share - 4 * (share * (1 - share) / WIDTH) ** 0.5
-    edges = compare_leaves(small.join(classes.select("c", "sig"), "c"), least)
-    head = large.groupBy("leaf").agg(F.min("c").alias("b"))
-    edges = edges.unionByName(large.join(head, "leaf").select(F.col("c").alias("a"), "b"))
+    edges = scratch.save(compare_leaves(small.join(classes.select("c", "sig"), "c"), least), "edges")
+    if not large.isEmpty():
+        head = large.groupBy("leaf").agg(F.min("c").alias("b"))
+        edges = edges.unionByName(large.join(head, "leaf").select(F.col("c").alias("a"), "b"))
     group = scratch.save(components(edges, scratch, "candidates"), "groups")
     size = group.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
     group = group.withColumnRenamed("vertex", "c").join(size, "component").join(classes.select("c", "rep", "set_key"), "c")
