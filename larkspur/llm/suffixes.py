@@ -243,8 +243,8 @@ def _sorted_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 def repeats(texts: DataFrame, scratch: Scratch) -> DataFrame:
-    """doc_id, h, begin, end: stretches that hold every repeated byte. texts:
-    doc_id, text and h, a hash of the text that tells rows of one id apart."""
+    """doc_id, h, spans (begin, end): stretches that hold every repeated byte.
+    texts: doc_id, text and h, a hash of the text that tells rows of one id apart."""
     found = scratch.save(map_arrow(texts.select("doc_id", "h", "text"), _find_anchors, ANCHORS, 64), "anchors")
     grams = scratch.save(found.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram"), "grams")
     found = scratch.save(found.join(grams, "gram"), "repeated")
@@ -252,7 +252,9 @@ def repeats(texts: DataFrame, scratch: Scratch) -> DataFrame:
     key = ["gram", "f1", "f2"]
     whole = found.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), *(F.first(c).alias(c) for c in ("doc_id", "h", "place", "first", "last")))
     whole = scratch.save(whole, "stretches")
-    covered = found.join(whole.where("n > 1").select(*key), key).select("doc_id", "h", F.col("first").alias("begin"), (F.col("last") + LENGTH).alias("end"))
+    stretch = ["doc_id", "h", F.col("first").alias("begin"), (F.col("last") + LENGTH).alias("end")]
+    # all stretches less those that occur once, taken from each other where a text's spans meet: a join of all anchors less
+    covered = found.select(*stretch, F.lit(False).alias("lone")).unionByName(whole.where("n = 1").select(*stretch, F.lit(True).alias("lone")))
     group = whole.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds"), F.min("n").alias("least")).where("kinds > 1 and least = 1").select("gram", "kinds")
     border = whole.join(group, "gram").withColumn("parts", F.ceil(F.col("kinds") / SPLIT))
     border = border.withColumn("part", F.pmod(F.xxhash64("f1", "f2"), "parts"))
@@ -279,7 +281,16 @@ def repeats(texts: DataFrame, scratch: Scratch) -> DataFrame:
     across = made.where("w1 is not null")
     twice = across.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("w1", "w2")
     across = across.join(twice, ["w1", "w2"]).select("doc_id", "h", "begin", (F.col("begin") + LENGTH).alias("end"))
-    return covered.unionByName(made.where("end is not null").select("doc_id", "h", "begin", "end")).unionByName(across)
+    part = made.where("end is not null").select("doc_id", "h", "begin", "end").unionByName(across)
+    return _spans(covered, part)
+
+
+def _spans(covered: DataFrame, part: DataFrame) -> DataFrame:
+    """doc_id, h and the distinct spans of each text that has any."""
+    span = F.struct("begin", "end")
+    every = covered.unionByName(part.withColumn("lone", F.lit(None).cast("boolean")))
+    held = every.groupBy("doc_id", "h").agg(*(F.collect_set(F.when(when, span)).alias(name) for name, when in (("all", F.col("lone") == F.lit(False)), ("lone", F.col("lone")), ("part", F.col("lone").isNull()))))
+    return held.select("doc_id", "h", F.array_union(F.array_except("all", "lone"), "part").alias("spans")).where(F.size("spans") > 0)
 
 
 def _merge(spans: list[dict]) -> list[tuple[int, int]]:
@@ -296,7 +307,7 @@ def _with_spans(texts: DataFrame) -> DataFrame:
     """texts with `spans`, the stretches of each row in one array (null: none)."""
     scratch = Scratch(texts.sparkSession, "suffixes")
     texts = texts.withColumn("h", F.xxhash64("text"))
-    spans = repeats(texts, scratch).groupBy(F.col("doc_id").alias("id2"), F.col("h").alias("h2")).agg(F.collect_set(F.struct("begin", "end")).alias("spans"))
+    spans = repeats(texts, scratch).withColumnsRenamed({"doc_id": "id2", "h": "h2"})
     spans = scratch.save(spans, "spans")
     return texts.join(spans, F.col("doc_id").eqNullSafe(F.col("id2")) & (F.col("h") == F.col("h2")), "left").drop("id2", "h2", "h")
 
