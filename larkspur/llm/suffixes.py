@@ -38,6 +38,8 @@ LENGTH, GRAM = 400, 100
 #: Borders of one gram in a bucket, bytes of a text worked on at a time, suffixes sorted at a time.
 SPLIT, CHUNK, SORTED = 4096, 1 << 20, 16_384
 REACH = LENGTH - GRAM
+#: A span that begins at b and has n bytes, at most REACH + LENGTH, is the number b * SPAN + n.
+SPAN = 2 * LENGTH
 _random = np.random.default_rng(9)
 _OF_BYTE = _random.integers(0, 2**64, (2, 256), np.uint64)
 _BASE = [0x9E3779B97F4A7C15 | 5, 0xC2B2AE3D27D4EB4F | 5]
@@ -243,7 +245,7 @@ def _sorted_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 def repeats(texts: DataFrame, scratch: Scratch) -> DataFrame:
-    """doc_id, h, spans (begin, end): stretches that hold every repeated byte.
+    """doc_id, h, spans (see SPAN): stretches that hold every repeated byte.
     texts: doc_id, text and h, a hash of the text that tells rows of one id apart."""
     found = scratch.save(map_arrow(texts.select("doc_id", "h", "text"), _find_anchors, ANCHORS, 64), "anchors")
     grams = scratch.save(found.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram"), "grams")
@@ -286,16 +288,19 @@ def repeats(texts: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def _spans(covered: DataFrame, part: DataFrame) -> DataFrame:
-    """doc_id, h and the distinct spans of each text that has any."""
-    span = F.struct("begin", "end")
+    """doc_id, h and the distinct spans of each text that has any. A span is
+    one number, on which Spark's set operations hash; on structs they would
+    compare every span with every other."""
+    span = F.col("begin") * SPAN + (F.col("end") - F.col("begin"))
     every = covered.unionByName(part.withColumn("lone", F.lit(None).cast("boolean")))
     held = every.groupBy("doc_id", "h").agg(*(F.collect_set(F.when(when, span)).alias(name) for name, when in (("all", F.col("lone") == F.lit(False)), ("lone", F.col("lone")), ("part", F.col("lone").isNull()))))
     return held.select("doc_id", "h", F.array_union(F.array_except("all", "lone"), "part").alias("spans")).where(F.size("spans") > 0)
 
 
-def _merge(spans: list[dict]) -> list[tuple[int, int]]:
+def _merge(spans: list[int]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
-    for a, b in sorted((s["begin"], s["end"]) for s in spans):
+    for a, n in (divmod(s, SPAN) for s in sorted(spans)):
+        b = a + n
         if out and a <= out[-1][1]:
             out[-1] = (out[-1][0], max(b, out[-1][1]))
         else:
@@ -312,7 +317,7 @@ def _with_spans(texts: DataFrame) -> DataFrame:
     return texts.join(spans, F.col("doc_id").eqNullSafe(F.col("id2")) & (F.col("h") == F.col("h2")), "left").drop("id2", "h2", "h")
 
 
-def _kept(text: str, spans: list[dict] | None) -> tuple[bytes, list[tuple[int, int]]]:
+def _kept(text: str, spans: list[int] | None) -> tuple[bytes, list[tuple[int, int]]]:
     raw = text.encode("utf-8", "surrogatepass")
     gone = _merge(spans or [])
     edges = [0, *(x for s in gone for x in s), len(raw)]
@@ -343,10 +348,10 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
 
     @F.udf("string", useArrow=True)
     def kept(text: str, spans: list) -> str:
-        return _kept(text, [{"begin": s["begin"], "end": s["end"]} for s in spans])[0].decode("utf-8", "ignore")
+        return _kept(text, list(spans))[0].decode("utf-8", "ignore")
 
     # texts without a repeat don't go through Python
-    made = rows.withColumn("text", F.when(F.col("spans").isNull(), F.col("text")).otherwise(kept("text", F.coalesce("spans", F.array().cast("array<struct<begin:bigint,end:bigint>>")))))
+    made = rows.withColumn("text", F.when(F.col("spans").isNull(), F.col("text")).otherwise(kept("text", F.coalesce("spans", F.array().cast("array<bigint>")))))
     made = made.select("doc_id", "text", *(F.col("others")[c].alias(c) for c in others))
     if "n_chars" in others:
         made = made.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
