@@ -13,7 +13,7 @@ from larkspur.llm.near_dedup import drop_near_duplicates
 from larkspur.llm.packing import pack
 from larkspur.llm.quality import keep_quality
 from larkspur.llm.shared import Scratch
-from larkspur.llm.suffixes import drop_repeats
+from larkspur.llm.suffixes import BYTES, WORDS, drop_repeats
 from larkspur.llm.toxicity import drop_toxic
 
 
@@ -33,8 +33,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the strings of 400 bytes that occur again (operator 9)."""
-    return drop_repeats(docs)
+    """Texts without the passages of over 50 words, and the strings of 400 bytes (texts of few or
+    very long words), that occur again (operator 9)."""
+    return drop_repeats(docs, BYTES, WORDS)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,9 +1,14 @@
 """Operator 9: removal of repeated byte strings with a sparse suffix array.
 
-A byte goes if a string of LENGTH bytes that covers it also starts anywhere
-else. Sorting a suffix for every byte isn't needed: of every LENGTH-byte window
-the gram of GRAM bytes with the least hash is its anchor, which depends on the
-window's content only, so equal windows have their anchors at the same place.
+A byte goes if a string of 400 bytes that covers it also starts anywhere else
+(BYTES). The same search runs over words (WORDS): a word, a run of bytes other
+than ASCII white space, is one symbol, its 64-bit hash, and 51 words in a row
+that also start anywhere else go, whatever white space lies between them.
+
+Sorting a suffix for every symbol isn't needed: of every window of unit.length
+symbols the gram of unit.gram symbols with the least hash is its anchor, which
+depends on the window's content only, so equal windows have their anchors at
+the same place.
 
 1. Anchors of all texts are found, each with the windows it stands for. Anchors
    whose gram occurs once stand for windows that occur once, and go.
@@ -11,13 +16,13 @@ window's content only, so equal windows have their anchors at the same place.
    are covered altogether; groups of copies end here, whatever their size.
 3. The rest are the borders of passages. Their suffixes are dealt to buckets by
    sampled splitters of their leading bytes, sorted within a bucket by a
-   multikey sort on 8-byte words, and so are the reversed prefixes. The common
+   multikey sort on 8-byte numbers, and so are the reversed prefixes. The common
    lengths of neighbours then say for every window whether another one agrees.
 4. A gram that very many different borders share is dealt over several buckets;
    the different windows of each are compared across buckets by digest.
 
-Defined results: a null text counts as empty; texts shorter than LENGTH stay
-whole; matches don't cross documents; a row repeated with its id is a document
+Defined results: a null text counts as empty; texts shorter than a window
+stay whole; matches don't cross documents; a row repeated with its id is a document
 of its own, so both lose what they share; null ids stay null; an empty table
 gives an empty result; other columns are not read.
 """
@@ -25,21 +30,52 @@ gives an empty result; other columns are not read.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import re
+from collections.abc import Iterable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .hashing import mix
 from .shared import Scratch, map_arrow, texts_of
 
-LENGTH, GRAM = 400, 100
-#: Borders of one gram in a bucket, bytes of a text worked on at a time, suffixes sorted at a time.
+
+class Unit(NamedTuple):
+    """What is compared: symbols of a window and of a gram, and whether a
+    symbol is a word or a byte."""
+
+    length: int
+    gram: int
+    words: bool
+
+    @property
+    def reach(self) -> int:
+        return self.length - self.gram
+
+    @property
+    def span(self) -> int:
+        """A span that begins at b and has n symbols, at most reach + length, is the number b * span + n."""
+        return 2 * self.length
+
+    @property
+    def kind(self) -> type:
+        return np.uint64 if self.words else np.uint8
+
+    def symbols(self, raw: bytes) -> np.ndarray:
+        if not self.words:
+            return np.frombuffer(raw, np.uint8)
+        words = raw.split()
+        return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+
+
+#: Operator 9's strings, and passages of over 50 words.
+BYTES, WORDS = Unit(400, 100, False), Unit(51, 13, True)
+#: Borders of one gram in a bucket, symbols of a text worked on at a time, suffixes sorted at a time.
 SPLIT, CHUNK, SORTED = 4096, 1 << 20, 16_384
-REACH = LENGTH - GRAM
-#: A span that begins at b and has n bytes, at most REACH + LENGTH, is the number b * SPAN + n.
-SPAN = 2 * LENGTH
 _random = np.random.default_rng(9)
 _OF_BYTE = _random.integers(0, 2**64, (2, 256), np.uint64)
 _BASE = [0x9E3779B97F4A7C15 | 5, 0xC2B2AE3D27D4EB4F | 5]
@@ -62,7 +98,8 @@ class _Sums:
             self._power[which] = (_powers(_BASE[which], n), _powers(pow(_BASE[which], -1, 2**64), n))
         power, self.inverse = self._power[which]
         self.sums = np.zeros(len(raw) + 1, np.uint64)
-        np.cumsum(_OF_BYTE[which][raw] * power[: len(raw)], out=self.sums[1:])
+        of_symbol = _OF_BYTE[which][raw] if raw.dtype == np.uint8 else mix(raw ^ _OF_BYTE[which][0])
+        np.cumsum(of_symbol * power[: len(raw)], out=self.sums[1:])
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         h = (self.sums[end] - self.sums[start]) * self.inverse[start]
@@ -81,35 +118,35 @@ def _window_minima(keys: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[: n - width + 1], ahead[width - 1 : n])
 
 
-def anchors(raw: np.ndarray) -> tuple[np.ndarray, ...]:
+def anchors(raw: np.ndarray, unit: Unit = BYTES) -> tuple[np.ndarray, ...]:
     """(gram digest, two digests of the stretch, place, first and last window)
     of each anchor of a text; windows are numbered by where they start."""
-    parts = []
-    for at in range(0, max(1, len(raw) - LENGTH + 1), CHUNK):
-        piece = raw[at : at + CHUNK + LENGTH - 1]  # the windows that start in this chunk
-        if len(piece) < LENGTH:
+    parts, length = [], unit.length
+    for at in range(0, max(1, len(raw) - length + 1), CHUNK):
+        piece = raw[at : at + CHUNK + length - 1]  # the windows that start in this chunk
+        if len(piece) < length:
             continue
         one, two = _Sums(piece, 0), _Sums(piece, 1)
-        place = np.arange(len(piece) - GRAM + 1)
-        gram = one.of(place, place + GRAM)
+        place = np.arange(len(piece) - unit.gram + 1)
+        gram = one.of(place, place + unit.gram)
         # least hash, leftmost among equals: the place fills the low bits
         keys = gram & ~np.uint64(0x3FFFFF) | place.astype(np.uint64)
-        chosen = (_window_minima(keys, REACH + 1) & np.uint64(0x3FFFFF)).astype(np.int64)
+        chosen = (_window_minima(keys, unit.reach + 1) & np.uint64(0x3FFFFF)).astype(np.int64)
         begins = np.flatnonzero(np.r_[True, chosen[1:] != chosen[:-1]])
         ends = np.r_[begins[1:], len(chosen)] - 1
         p = chosen[begins]
         span = (p - begins).astype(np.uint64) << np.uint64(32) | (p - ends).astype(np.uint64)
-        parts.append((gram[p], one.of(begins, ends + LENGTH) ^ span * np.uint64(0x9E3779B97F4A7C15), two.of(begins, ends + LENGTH), p + at, begins + at, ends + at))
+        parts.append((gram[p], one.of(begins, ends + length) ^ span * np.uint64(0x9E3779B97F4A7C15), two.of(begins, ends + length), p + at, begins + at, ends + at))
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True)) if parts else tuple(np.zeros(0, np.int64) for _ in range(6))
 
 
 ANCHORS = "doc_id long, h long, gram long, f1 long, f2 long, place long, first long, last long"
 
 
-def _find_anchors(batch: pa.RecordBatch) -> pa.RecordBatch:
+def _find_anchors(batch: pa.RecordBatch, unit: Unit) -> pa.RecordBatch:
     columns: list[list[np.ndarray]] = [[] for _ in range(7)]
     for k, text in enumerate(batch.column("text").to_pylist()):
-        found = anchors(np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8))
+        found = anchors(unit.symbols(text.encode("utf-8", "surrogatepass")), unit)
         if len(found[0]):
             for column, x in zip(columns, (*found, np.full(len(found[0]), k)), strict=True):
                 column.append(x.astype(np.int64))
@@ -141,30 +178,33 @@ def multikey_order(words: np.ndarray) -> np.ndarray:
 
 
 def _classes(strings: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Order of the byte rows, and the common length of each with the one before."""
-    padded = np.zeros((len(strings), -(-strings.shape[1] // 8) * 8), np.uint8)
-    padded[:, : strings.shape[1]] = strings
-    order = multikey_order(padded.view(">u8").astype(np.uint64))
+    """Order of the rows of symbols, and the common length of each with the one before."""
+    words = strings
+    if strings.dtype == np.uint8:
+        padded = np.zeros((len(strings), -(-strings.shape[1] // 8) * 8), np.uint8)
+        padded[:, : strings.shape[1]] = strings
+        words = padded.view(">u8").astype(np.uint64)
+    order = multikey_order(words)
     differ = strings[order[1:]] != strings[order[:-1]]
     common = np.where(differ.any(axis=1), differ.argmax(axis=1), strings.shape[1])
     return order, np.r_[-1, common]
 
 
-def repeated_windows(left: np.ndarray, right: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def repeated_windows(left: np.ndarray, right: np.ndarray, low: np.ndarray, high: np.ndarray, unit: Unit = BYTES) -> tuple[np.ndarray, np.ndarray]:
     """For each anchor and offset, whether the window that starts `offset`
-    bytes before the anchor agrees with that of another one, and whether it is
-    the first of those that agree. left: reversed bytes before the anchors;
-    right: bytes from them; offsets from low to high are an anchor's own
+    symbols before the anchor agrees with that of another one, and whether it is
+    the first of those that agree. left: reversed symbols before the anchors;
+    right: symbols from them; offsets from low to high are an anchor's own
     windows."""
     n = len(right)
-    out, firsts = np.zeros((n, REACH + 1), bool), np.zeros((n, REACH + 1), bool)
+    out, firsts = np.zeros((n, unit.reach + 1), bool), np.zeros((n, unit.reach + 1), bool)
     (r_order, r_common), (l_order, l_common) = _classes(right), _classes(left)
     r_class, l_class = np.empty(n, np.int64), np.empty(n, np.int64)
-    for offset in range(REACH + 1):
+    for offset in range(unit.reach + 1):
         own = np.flatnonzero((low <= offset) & (offset <= high))
         if len(own) < 2:
             continue
-        r_class[r_order] = np.cumsum(r_common < LENGTH - offset)
+        r_class[r_order] = np.cumsum(r_common < unit.length - offset)
         l_class[l_order] = np.cumsum(l_common < offset)
         code = r_class[own] * (n + 1) + l_class[own]
         order = np.argsort(code, kind="stable")
@@ -185,30 +225,30 @@ def _runs(hit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return row, first, np.nonzero(edge == -1)[1] - 1
 
 
-def _compare(part: pa.Table) -> pa.RecordBatch:
+def _compare(part: pa.Table, unit: Unit) -> pa.RecordBatch:
     """Stretches of repeated windows (end given), and for grams dealt over
     several buckets the digests of the different windows here (w1 given)."""
     place, first, last, parts = (part.column(c).to_numpy() for c in ("place", "first", "last", "parts"))
     low, high = place - last, place - first
     n, blobs = part.num_rows, part.column("bytes").to_pylist()
-    left, right = np.zeros((n, REACH), np.uint8), np.zeros((n, LENGTH), np.uint8)
+    left, right = np.zeros((n, unit.reach), unit.kind), np.zeros((n, unit.length), unit.kind)
     for k, (blob, o) in enumerate(zip(blobs, high.tolist(), strict=True)):
-        raw = np.frombuffer(blob, np.uint8)
+        raw = np.frombuffer(blob, unit.kind)
         left[k, :o] = raw[:o][::-1]
         right[k, : len(raw) - o] = raw[o:]
-    hit, firsts = repeated_windows(left, right, low, high)
+    hit, firsts = repeated_windows(left, right, low, high, unit)
     row, a, b = _runs(hit)
-    begin, end = place[row] - b, place[row] - a + LENGTH
+    begin, end = place[row] - b, place[row] - a + unit.length
     w1 = w2 = np.zeros(0, np.int64)
     more, start = np.zeros(0, np.int64), np.zeros(0, np.int64)
     if (parts > 1).any():
-        offset = np.arange(REACH + 1)
+        offset = np.arange(unit.reach + 1)
         open_ = (~hit | firsts) & (low[:, None] <= offset) & (offset <= high[:, None]) & (parts > 1)[:, None]
         found = []
         for k in np.flatnonzero(open_.any(axis=1)).tolist():
-            raw, o = np.frombuffer(blobs[k], np.uint8), np.flatnonzero(open_[k])
+            raw, o = np.frombuffer(blobs[k], unit.kind), np.flatnonzero(open_[k])
             at = high[k] - o
-            found.append((np.full(len(o), k), place[k] - o, _Sums(raw, 0).of(at, at + LENGTH).astype(np.int64), _Sums(raw, 1).of(at, at + LENGTH).astype(np.int64)))
+            found.append((np.full(len(o), k), place[k] - o, _Sums(raw, 0).of(at, at + unit.length).astype(np.int64), _Sums(raw, 1).of(at, at + unit.length).astype(np.int64)))
         if found:
             more, start, w1, w2 = (np.concatenate(x) for x in zip(*found, strict=True))
     rows = pa.array(np.r_[row, more])
@@ -220,7 +260,7 @@ def _compare(part: pa.Table) -> pa.RecordBatch:
     )
 
 
-def _sorted_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sorted_buckets(batches: Iterator[pa.RecordBatch], unit: Unit) -> Iterator[pa.RecordBatch]:
     """Compares a sorted bucket in runs of about SORTED suffixes, cut where the
     gram or its part changes."""
     held: list[pa.RecordBatch] = []
@@ -237,24 +277,24 @@ def _sorted_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             if not len(change):
                 continue
             cut = int(change[-1]) + 1
-            yield _compare(table.slice(0, cut))
+            yield _compare(table.slice(0, cut), unit)
             held = table.slice(cut).to_batches()
             size = table.num_rows - cut
     if held:
-        yield _compare(pa.Table.from_batches(held))
+        yield _compare(pa.Table.from_batches(held), unit)
 
 
-def repeats(texts: DataFrame, scratch: Scratch) -> DataFrame:
-    """doc_id, h, spans (see SPAN): stretches that hold every repeated byte.
+def repeats(texts: DataFrame, scratch: Scratch, unit: Unit = BYTES) -> DataFrame:
+    """doc_id, h, spans (see Unit): stretches that hold every repeated symbol.
     texts: doc_id, text and h, a hash of the text that tells rows of one id apart."""
-    found = scratch.save(map_arrow(texts.select("doc_id", "h", "text"), _find_anchors, ANCHORS, 64), "anchors")
+    found = scratch.save(map_arrow(texts.select("doc_id", "h", "text"), lambda batch: _find_anchors(batch, unit), ANCHORS, 64), "anchors")
     grams = scratch.save(found.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram"), "grams")
     found = scratch.save(found.join(grams, "gram"), "repeated")
     scratch.drop("anchors", "grams")
     key = ["gram", "f1", "f2"]
     whole = found.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), *(F.first(c).alias(c) for c in ("doc_id", "h", "place", "first", "last")))
     whole = scratch.save(whole, "stretches")
-    stretch = ["doc_id", "h", F.col("first").alias("begin"), (F.col("last") + LENGTH).alias("end")]
+    stretch = ["doc_id", "h", F.col("first").alias("begin"), (F.col("last") + unit.length).alias("end")]
     # all stretches less those that occur once, taken from each other where a text's spans meet: a join of all anchors less
     covered = found.select(*stretch, F.lit(False).alias("lone")).unionByName(whole.where("n = 1").select(*stretch, F.lit(True).alias("lone")))
     group = whole.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds"), F.min("n").alias("least")).where("kinds > 1 and least = 1").select("gram", "kinds")
@@ -266,9 +306,9 @@ def repeats(texts: DataFrame, scratch: Scratch) -> DataFrame:
         docs, hs, ats = (batch.column(c).to_pylist() for c in ("doc_id", "h", "at"))
         out: list[tuple] = []
         for doc, h, text, at in zip(docs, hs, batch.column("text").to_pylist(), ats, strict=True):
-            raw = text.encode("utf-8", "surrogatepass")
+            raw = unit.symbols(text.encode("utf-8", "surrogatepass"))
             for a in at:
-                out.append((doc, h, a["gram"], a["place"], a["first"], a["last"], a["parts"], a["part"], raw[a["first"] : a["last"] + LENGTH], raw[a["place"] : a["place"] + 16]))
+                out.append((doc, h, a["gram"], a["place"], a["first"], a["last"], a["parts"], a["part"], raw[a["first"] : a["last"] + unit.length].tobytes(), raw[a["place"] : a["place"] + 16 // raw.itemsize].tobytes()))
         kinds = [pa.int64()] * 8 + [pa.binary()] * 2
         return pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], kind) for k, kind in enumerate(kinds)], ["doc_id", "h", "gram", "place", "first", "last", "parts", "part", "bytes", "head"])
 
@@ -278,29 +318,28 @@ def repeats(texts: DataFrame, scratch: Scratch) -> DataFrame:
     cuts = scratch.save(cuts, "suffixes")
     buckets = max(1, int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     order = ["head", "gram", "part"]
-    made = cuts.repartitionByRange(buckets, *order).sortWithinPartitions(*order).drop("head").mapInArrow(_sorted_buckets, FOUND)
+    made = cuts.repartitionByRange(buckets, *order).sortWithinPartitions(*order).drop("head").mapInArrow(lambda batches: _sorted_buckets(batches, unit), FOUND)
     made = scratch.save(made, "compared")
     across = made.where("w1 is not null")
     twice = across.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("w1", "w2")
-    across = across.join(twice, ["w1", "w2"]).select("doc_id", "h", "begin", (F.col("begin") + LENGTH).alias("end"))
+    across = across.join(twice, ["w1", "w2"]).select("doc_id", "h", "begin", (F.col("begin") + unit.length).alias("end"))
     part = made.where("end is not null").select("doc_id", "h", "begin", "end").unionByName(across)
-    return _spans(covered, part)
+    return _spans(covered, part, unit)
 
 
-def _spans(covered: DataFrame, part: DataFrame) -> DataFrame:
+def _spans(covered: DataFrame, part: DataFrame, unit: Unit) -> DataFrame:
     """doc_id, h and the distinct spans of each text that has any. A span is
     one number, on which Spark's set operations hash; on structs they would
     compare every span with every other."""
-    span = F.col("begin") * SPAN + (F.col("end") - F.col("begin"))
+    span = F.col("begin") * unit.span + (F.col("end") - F.col("begin"))
     every = covered.unionByName(part.withColumn("lone", F.lit(None).cast("boolean")))
     held = every.groupBy("doc_id", "h").agg(*(F.collect_set(F.when(when, span)).alias(name) for name, when in (("all", F.col("lone") == F.lit(False)), ("lone", F.col("lone")), ("part", F.col("lone").isNull()))))
     return held.select("doc_id", "h", F.array_union(F.array_except("all", "lone"), "part").alias("spans")).where(F.size("spans") > 0)
 
 
-def _merge(spans: list[int]) -> list[tuple[int, int]]:
+def _merge(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
-    for a, n in (divmod(s, SPAN) for s in sorted(spans)):
-        b = a + n
+    for a, b in sorted(spans):
         if out and a <= out[-1][1]:
             out[-1] = (out[-1][0], max(b, out[-1][1]))
         else:
@@ -308,18 +347,30 @@ def _merge(spans: list[int]) -> list[tuple[int, int]]:
     return out
 
 
-def _with_spans(texts: DataFrame) -> DataFrame:
-    """texts with `spans`, the stretches of each row in one array (null: none)."""
-    scratch = Scratch(texts.sparkSession, "suffixes")
-    texts = texts.withColumn("h", F.xxhash64("text"))
-    spans = repeats(texts, scratch).withColumnsRenamed({"doc_id": "id2", "h": "h2"})
-    spans = scratch.save(spans, "spans")
-    return texts.join(spans, F.col("doc_id").eqNullSafe(F.col("id2")) & (F.col("h") == F.col("h2")), "left").drop("id2", "h2", "h")
+def _in_bytes(raw: bytes, spans: list[int], unit: Unit) -> list[tuple[int, int]]:
+    """Begin and end of the spans in the text; of words, with the white space between them."""
+    found = _merge((b, b + n) for b, n in (divmod(s, unit.span) for s in spans))
+    if not unit.words or not found:
+        return found
+    words = [m.span() for m in re.finditer(rb"\S+", raw)]
+    return [(words[a][0], words[b - 1][1]) for a, b in found]
+
+
+def _with_spans(texts: DataFrame, units: tuple[Unit, ...]) -> DataFrame:
+    """texts with `spans0` and so on: for each unit, the stretches of each row in one array (null: none)."""
+    texts = out = texts.withColumn("h", F.xxhash64("text"))
+    for k, unit in enumerate(units):
+        scratch = Scratch(texts.sparkSession, "suffixes")
+        spans = repeats(texts, scratch, unit).select(F.col("doc_id").alias("id2"), F.col("h").alias("h2"), F.col("spans").alias(f"spans{k}"))
+        spans = scratch.save(spans, "spans")
+        scratch.drop("repeated", "stretches", "wanted", "suffixes", "compared")
+        out = out.join(spans, F.col("doc_id").eqNullSafe(F.col("id2")) & (F.col("h") == F.col("h2")), "left").drop("id2", "h2")
+    return out.drop("h")
 
 
-def _kept(text: str, spans: list[int] | None) -> tuple[bytes, list[tuple[int, int]]]:
+def _kept(text: str, *spans: tuple[Unit, list[int] | None]) -> tuple[bytes, list[tuple[int, int]]]:
     raw = text.encode("utf-8", "surrogatepass")
-    gone = _merge(spans or [])
+    gone = _merge(x for unit, of in spans for x in _in_bytes(raw, of or [], unit))
     edges = [0, *(x for s in gone for x in s), len(raw)]
     return b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)), gone
 
@@ -329,29 +380,33 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = batch.column("text").to_pylist()
-        made = [_kept(t, s) for t, s in zip(texts, batch.column("spans").to_pylist(), strict=True)]
+        made = [_kept(t, (BYTES, s)) for t, s in zip(texts, batch.column("spans0").to_pylist(), strict=True)]
         gone = [sum(b - a for a, b in g) for _, g in made]
         return pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), pa.array([len(k) + g for (k, _), g in zip(made, gone, strict=True)], pa.int64()), pa.array(gone, pa.int64()), pa.array([len(g) for _, g in made], pa.int64()), pa.array([hashlib.sha256(k).hexdigest() for k, _ in made])],
             ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
         )
 
-    rows = _with_spans(texts_of(docs, id_col, text_col)).select("doc_id", "text", "spans")
+    rows = _with_spans(texts_of(docs, id_col, text_col), (BYTES,)).select("doc_id", "text", "spans0")
     return map_arrow(rows, run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", 128)
 
 
-def drop_repeats(docs: DataFrame) -> DataFrame:
-    """The documents, all columns, with repeated strings taken out of `text`
-    and `n_chars` counted anew. A character cut by a border goes altogether."""
+def drop_repeats(docs: DataFrame, *units: Unit) -> DataFrame:
+    """The documents, all columns, with repeated strings (BYTES, if no units
+    are given) taken out of `text` and `n_chars` counted anew. A character cut
+    by a border goes altogether."""
+    units = units or (BYTES,)
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    rows = _with_spans(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.struct(F.lit(0).alias("_"), *others).alias("others")))
+    rows = _with_spans(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.struct(F.lit(0).alias("_"), *others).alias("others")), units)
+    spans = [f"spans{k}" for k in range(len(units))]
 
     @F.udf("string", useArrow=True)
-    def kept(text: str, spans: list) -> str:
-        return _kept(text, list(spans))[0].decode("utf-8", "ignore")
+    def kept(text: str, *found: list) -> str:
+        return _kept(text, *zip(units, map(list, found), strict=True))[0].decode("utf-8", "ignore")
 
     # texts without a repeat don't go through Python
-    made = rows.withColumn("text", F.when(F.col("spans").isNull(), F.col("text")).otherwise(kept("text", F.coalesce("spans", F.array().cast("array<bigint>")))))
+    whole = F.coalesce(*spans).isNull()
+    made = rows.withColumn("text", F.when(whole, F.col("text")).otherwise(kept("text", *(F.coalesce(c, F.array().cast("array<bigint>")) for c in spans))))
     made = made.select("doc_id", "text", *(F.col("others")[c].alias(c) for c in others))
     if "n_chars" in others:
         made = made.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))

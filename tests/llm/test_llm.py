@@ -400,6 +400,41 @@ def test_repeat_edges(edges):
     assert kept.columns == edges.columns and kept.count() == len(EDGES)
 
 
+@pytest.mark.parametrize("split,run,chunk", [(4096, 16_384, 1 << 20), (5, 50, 70)])
+def test_repeated_passages_of_over_50_words(spark, monkeypatch, split, run, chunk):
+    monkeypatch.setattr(suffixes, "SPLIT", split)
+    monkeypatch.setattr(suffixes, "SORTED", run)
+    monkeypatch.setattr(suffixes, "CHUNK", chunk)
+    dice = random.Random(51)
+    words = lambda n: ["".join(dice.choice("abcdé") for _ in range(dice.randrange(1, 6))) for _ in range(n)]
+    passages = [words(n) for n in (49, 50, 51, 52, 60, 80, 200)]
+    made = []
+    for _ in range(80):
+        text = words(dice.randrange(40))
+        for _ in range(dice.randrange(3)):
+            p = dice.choice(passages)
+            text += p[dice.randrange(8) : len(p) - dice.randrange(6)] + words(dice.randrange(1, 30))
+        made.append(text)
+    made += [["b"] * 120, [], passages[3], passages[1]]
+    rows = [(k, dice.choice(" \n\t").join(t)) for k, t in enumerate(made)]
+    seen = Counter(tuple(t[i : i + 51]) for t in made for i in range(len(t) - 50))
+    want = {}
+    for k, t in enumerate(made):
+        gone = {j for i in range(len(t) - 50) if seen[tuple(t[i : i + 51])] > 1 for j in range(i, i + 51)}
+        want[k] = [w for j, w in enumerate(t) if j not in gone]
+    assert any(len(want[k]) < len(t) and len(" ".join(t).encode()) < 400 for k, t in enumerate(made))
+    got = suffixes.drop_repeats(spark.createDataFrame(rows, "doc_id long, text string"), suffixes.WORDS)
+    assert {r.doc_id: r.text.split() for r in got.collect()} == want
+
+
+def test_pipeline_drops_short_passages_of_over_50_words_and_long_strings(spark, pipeline):
+    passage, run = " ".join(f"w{k}" for k in range(54)), made_text(450).replace(" ", "x")
+    assert len(passage) < 400
+    rows = [(1, f"one {passage} end"), (2, f"two {passage} END"), (3, f"three {run} end"), (4, f"four {run} END"), (5, passage.rpartition(" w50")[0])]
+    got = {r.doc_id: r.text.split() for r in dict(pipeline.STAGES)["suffix_dedup"](spark, spark.createDataFrame(rows, "doc_id long, text string"), SF).collect()}
+    assert got == {1: ["one", "end"], 2: ["two", "END"], 3: ["threeend"], 4: ["fourEND"], 5: rows[4][1].split()}
+
+
 # the pipeline
 
 
