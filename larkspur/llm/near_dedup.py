@@ -101,18 +101,18 @@ def _signature_rows(batch: pa.RecordBatch) -> np.ndarray:
 
 
 def shingle_table(texts: DataFrame, n: int) -> DataFrame:
-    """doc_id, n_shingles, set_key and sig; the last two null for empty sets."""
+    """doc_id, h (a hash of the text), n_shingles, set_key and sig; the last two null for empty sets."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = [shingle_set(t, n) for t in batch.column("text").to_pylist()]
         full = [s for s in sets if len(s)]
         sig = iter(signatures(full) if full else ())
         return pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(map(len, sets), pa.int64()), pa.array([set_key(s) if len(s) else None for s in sets], pa.string()), pa.array([next(sig).tobytes() if len(s) else None for s in sets], pa.binary())],
-            ["doc_id", "n_shingles", "set_key", "sig"],
+            [batch.column("doc_id"), batch.column("h"), pa.array(map(len, sets), pa.int64()), pa.array([set_key(s) if len(s) else None for s in sets], pa.string()), pa.array([next(sig).tobytes() if len(s) else None for s in sets], pa.binary())],
+            ["doc_id", "h", "n_shingles", "set_key", "sig"],
         )
 
-    return map_arrow(texts, run, "doc_id long, n_shingles long, set_key string, sig binary", 256)
+    return map_arrow(texts.withColumn("h", F.xxhash64("text")), run, "doc_id long, h long, n_shingles long, set_key string, sig binary", 256)
 
 
 def leaves(classes: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
@@ -265,13 +265,8 @@ def verified(texts: DataFrame, group: DataFrame, n: int, percent: int) -> DataFr
     return rows.repartition("component", "p", "q").sortWithinPartitions("component", "p", "q").mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of each document. Linked are
-    documents whose sets of `words`-word shingles have a Jaccard similarity of
-    at least percent / 100."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "near-dedup")
-    texts = texts_of(docs, id_col, text_col)
+def _grouped(texts: DataFrame, words: int, percent: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """The shingle table, and set_key, rep and component of each class."""
     table = scratch.save(shingle_table(texts, words), "signatures")
     classes = table.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"))
     classes = scratch.save(classes.withColumn("c", F.monotonically_increasing_id()), "classes")
@@ -287,7 +282,15 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     group = group.withColumnRenamed("vertex", "c").join(size, "component").join(classes.select("c", "rep", "set_key"), "c")
     links = scratch.save(verified(texts, scratch.save(group, "members"), words, percent), "links")
     found = components(links, scratch, "links-of")
-    of_class = classes.select("c", "set_key", "rep").join(found.withColumnRenamed("vertex", "c"), "c", "left").withColumn("component", F.coalesce("component", "c"))
+    of_class = classes.select("c", "set_key", "rep").join(found.withColumnRenamed("vertex", "c"), "c", "left")
+    return table, of_class.select("set_key", "rep", F.coalesce("component", "c").alias("component"))
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of each document. Linked are
+    documents whose sets of `words`-word shingles have a Jaccard similarity of
+    at least percent / 100."""
+    table, of_class = _grouped(texts_of(docs, id_col, text_col), words, percent, Scratch(docs.sparkSession, "near-dedup"))
     named = of_class.groupBy("component").agg(F.min("rep").alias("component_id"))
     of_class = of_class.join(named, "component").select("set_key", "component_id")
     out = table.select("doc_id", "n_shingles", "set_key").join(of_class, "set_key", "left")
@@ -296,9 +299,23 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """The documents, all columns, one of each group."""
-    gone = near_duplicates(docs, words, percent).where("not kept").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """The documents, all columns, one row of each group: of the least id (a
+    null id only if there is no other), whatever else has that id. Rows without
+    shingles are groups of their own."""
+    scratch = Scratch(docs.sparkSession, "near-dedup")
+    table, of_class = _grouped(texts_of(docs), words, percent, scratch)
+    rows = table.where("set_key is not null").groupBy("doc_id", "h").agg(F.first("set_key").alias("set_key"), F.count(F.lit(1)).alias("n"))
+    rows = scratch.save(rows.join(of_class.select("set_key", "component"), "set_key"), "rows")
+    one = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h")).alias("one"))
+    chosen = F.col("doc_id").eqNullSafe(F.col("one.doc_id")) & (F.col("h") == F.col("one.h"))
+    # what goes (0), and what is there several times over (how often); all else stays as it is
+    fate = rows.join(one, "component").select(F.col("doc_id").alias("_id"), F.col("h").alias("_of"), F.when(chosen, F.col("n")).otherwise(0).alias("_n"))
+    fate = scratch.save(fate.where("_n <> 1"), "fate")
+    found = docs.withColumn("_h", F.xxhash64(F.coalesce("text", F.lit("")))).join(fate, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_of")), "left")
+    out = found.where("_n is null").select(*docs.columns)
+    if fate.where("_n > 1").isEmpty():
+        return out
+    return out.unionByName(found.where("_n > 1").dropDuplicates(["doc_id", "_h"]).select(*docs.columns))
 
 
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -271,6 +271,24 @@ def test_near_duplicate_edges(edges):
     assert by_id[1].n_shingles == by_id[3].n_shingles == 0 and by_id[6].component_id == 5 and by_id[4].n_shingles == 1
 
 
+def test_dropping_near_duplicates_leaves_one_row_of_each_group(spark, pipeline):
+    dice = random.Random(6)
+    made = lambda: " ".join("".join(dice.choice("abcdefgh") for _ in range(6)) for _ in range(80))
+    a, b, c, d, e, f = (made() for _ in range(6))
+    near = b + " more"
+    # rows repeated with their id; null-id copies; a near copy and another text under one id; only null ids; two texts of one set under one id
+    rows = [(1, a), (1, a), (1, a), (2, b), (None, b), (None, b), (3, near), (3, c), (None, d), (None, d), (5, e), (5, e.upper()), (6, f), (7, f), (8, None), (8, None), (None, ""), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    stages = dict(pipeline.STAGES)
+    got = [tuple(r) for r in stages["near_dedup"](spark, df, SF).collect()]
+    five = [r for r in got if r[0] == 5]
+    assert len(five) == 1 and five[0][1] in (e, e.upper())
+    assert Counter(r for r in got if r[0] != 5) == Counter([(1, a), (2, b), (3, c), (None, d), (6, f), (8, None), (8, None), (None, ""), (None, None)])
+    # no survivor is taken for a repeat of another
+    after = Counter(r.text for r in stages["suffix_dedup"](spark, stages["near_dedup"](spark, df, SF), SF).collect())
+    assert all(after[t] == 1 for t in (a, b, c, d, f)) and len(a) > 400
+
+
 def test_signature_agreement_is_jaccard():
     a, b = set(range(1000)), set(range(100, 1100))
     h = lambda s: np.unique(near_dedup.mix(np.array(sorted(s), np.uint64) + np.uint64(1)))
