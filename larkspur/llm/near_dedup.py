@@ -1,12 +1,12 @@
 """Operator 6: near-duplicates by chosen-path set similarity join.
 
 A document is its set of word shingles. Documents with the same set form a
-class, of which one takes part. Each of TREES independent trees sends a class
-down a path: at every node the path so far chooses a coordinate of the class'
-minwise signature, and the token found there names the branch. Nodes of at most
+class, of which one takes part. Each of several trees sends a class down a
+path: every level of every tree has a minhash of its own, and the token found
+there names the branch. Nodes of at most
 SMALL members are compared exhaustively on signatures; larger ones branch on,
-to DEPTH levels. What still is larger then (members that agree in DEPTH chosen
-tokens, that is one large group of near copies) is tied to its least member.
+to DEPTH levels. What still is larger then (members that agree in all tokens
+of a path, that is one large group of near copies) is tied to its least member.
 
 This gives candidate groups, with room below the threshold, so that a true link
 is missed only if no tree brings its two classes (or a chain of candidates)
@@ -14,9 +14,12 @@ together. Within a candidate group every pair that isn't connected yet is
 decided on the full shingle sets: a task takes one block or a pair of blocks of
 BLOCK members and returns a spanning forest, never the pairs.
 
-Chance of a link at similarity s in a node of depth d: 1 - (1 - s**d)**TREES;
-0.9999999 for 0.85 at depth 2, 0.99 at depth 8, where a large group's members
-have many other ways to be connected.
+Chance of a link at similarity s in a node of depth d: 1 - (1 - s**d)**trees.
+There are as many trees as it takes for this to be RECALL at the similarity
+asked for and the last depth, however large the nodes above are: 22 for 0.85,
+38 for 0.80. If that were more than MAX_TREES, paths are shorter, which costs
+work and not recall. Tokens of paths are cut to 16 bits, which only adds
+candidates.
 
 Defined results: words are runs of bytes other than ASCII white space, A-Z in
 lower case; a text with fewer words than a shingle is one shingle; a null or
@@ -27,6 +30,7 @@ get their row; an empty table gives an empty result; other columns are not read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,13 +44,15 @@ from .embeddings import Forest
 from .hashing import WordHashes, mix, shingles
 from .shared import Scratch, map_arrow, texts_of
 
-#: Length of a signature, trees, first and last depth at which nodes are looked at.
-WIDTH, TREES, FIRST, DEPTH = 64, 16, 2, 8
+#: Length of a signature, first and last depth at which nodes are looked at.
+WIDTH, FIRST, DEPTH = 64, 4, 8
+#: Chance that a pair of just the similarity asked for meets in a node of the last depth; trees at most.
+RECALL, MAX_TREES = 0.999, 64
 #: Members of a node that is compared exhaustively; members of a block of a candidate group.
 SMALL, BLOCK = 64, 1024
 _random = np.random.default_rng(6)
-_XOR = _random.integers(0, 2**63, WIDTH, np.uint64)
-_MUL = _random.integers(0, 2**63, WIDTH, np.uint64) * np.uint64(2) + np.uint64(1)
+_XOR = _random.integers(0, 2**63, MAX_TREES * DEPTH, np.uint64)
+_MUL = _random.integers(0, 2**63, MAX_TREES * DEPTH, np.uint64) * np.uint64(2) + np.uint64(1)
 _words = WordHashes()
 
 
@@ -74,25 +80,34 @@ def set_key(members: np.ndarray) -> str:
     return xxhash.xxh128_hexdigest(members.tobytes())
 
 
-def signatures(sets: list[np.ndarray]) -> np.ndarray:
+def forest_size(percent: int) -> tuple[int, int]:
+    """Trees and their depth for the stated recall at percent / 100."""
+    share = percent / 100
+    for depth in range(DEPTH, 0, -1):
+        trees = math.ceil(math.log(1 - RECALL) / math.log1p(-(share**depth))) if share < 1 else 1
+        if trees <= MAX_TREES:
+            return trees, depth
+    raise ValueError(f"{percent} percent would take {trees} trees; at most {MAX_TREES} are made")
+
+
+def signatures(sets: list[np.ndarray], width: int = WIDTH) -> np.ndarray:
     """Minwise signatures, one row for each set; none may be empty."""
     lens = np.array([len(s) for s in sets])
     flat, starts = np.concatenate(sets), np.cumsum(lens) - lens
-    out = np.empty((len(sets), WIDTH), np.uint32)
-    for k in range(WIDTH):
+    out = np.empty((len(sets), width), np.uint32)
+    for k in range(width):
         out[:, k] = np.minimum.reduceat((flat ^ _XOR[k]) * _MUL[k], starts) >> np.uint64(32)
     return out
 
 
-def paths(sig: np.ndarray, tree: int, depths: range) -> dict[int, np.ndarray]:
-    """The node of each row at the given depths of a tree."""
-    at = np.full(len(sig), mix(np.array([tree + 1], np.uint64))[0])
-    rows, out = np.arange(len(sig)), {}
-    for depth in range(1, depths.stop):
-        chosen = (at % np.uint64(WIDTH)).astype(np.int64)
-        at = mix(at * np.uint64(0x9E3779B97F4A7C15) + sig[rows, chosen].astype(np.uint64) + np.uint64(depth))
-        if depth in depths:
-            out[depth] = at.astype(np.int64)
+def paths(tokens: np.ndarray, tree: int, depths: range, depth: int = DEPTH) -> dict[int, np.ndarray]:
+    """The node of each row at the given depths of a tree. tokens: `depth` of each tree."""
+    at = np.full(len(tokens), mix(np.array([tree + 1], np.uint64))[0])
+    out = {}
+    for d in range(1, depths.stop):
+        at = mix(at * np.uint64(0x9E3779B97F4A7C15) + tokens[:, tree * depth + d - 1].astype(np.uint64) + np.uint64(d))
+        if d in depths:
+            out[d] = at.astype(np.int64)
     return out
 
 
@@ -100,46 +115,57 @@ def _signature_rows(batch: pa.RecordBatch) -> np.ndarray:
     return np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint32).reshape(-1, WIDTH)
 
 
-def shingle_table(texts: DataFrame, n: int) -> DataFrame:
-    """doc_id, h (a hash of the text), n_shingles, set_key and sig; the last two null for empty sets."""
+def _token_rows(batch: pa.RecordBatch) -> np.ndarray:
+    return np.frombuffer(b"".join(batch.column("tokens").to_pylist()), np.uint16).reshape(batch.num_rows, -1)
+
+
+def shingle_table(texts: DataFrame, n: int, tokens: int) -> DataFrame:
+    """doc_id, h (a hash of the text), n_shingles, set_key, sig and the tokens
+    of the paths; the last three null for empty sets."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = [shingle_set(t, n) for t in batch.column("text").to_pylist()]
         full = [s for s in sets if len(s)]
-        sig = iter(signatures(full) if full else ())
+        made = signatures(full, max(WIDTH, tokens)) if full else np.zeros((0, max(WIDTH, tokens)), np.uint32)
+        sig, token = (iter(made[:, :WIDTH].copy()), iter(made[:, :tokens].astype(np.uint16)))
         return pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("h"), pa.array(map(len, sets), pa.int64()), pa.array([set_key(s) if len(s) else None for s in sets], pa.string()), pa.array([next(sig).tobytes() if len(s) else None for s in sets], pa.binary())],
-            ["doc_id", "h", "n_shingles", "set_key", "sig"],
+            [batch.column("doc_id"), batch.column("h"), pa.array(map(len, sets), pa.int64()), pa.array([set_key(s) if len(s) else None for s in sets], pa.string())]
+            + [pa.array([next(x).tobytes() if len(s) else None for s in sets], pa.binary()) for x in (sig, token)],
+            ["doc_id", "h", "n_shingles", "set_key", "sig", "tokens"],
         )
 
-    return map_arrow(texts.withColumn("h", F.xxhash64("text")), run, "doc_id long, h long, n_shingles long, set_key string, sig binary", 256)
+    return map_arrow(texts.withColumn("h", F.xxhash64("text")), run, "doc_id long, h long, n_shingles long, set_key string, sig binary, tokens binary", 256)
 
 
-def leaves(classes: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+def leaves(classes: DataFrame, scratch: Scratch, trees: int, depth: int) -> tuple[DataFrame, DataFrame]:
     """(leaf, c) of the nodes of 2 to SMALL members, and of the larger ones at the last depth."""
+    start = min(FIRST, depth)
 
     def first(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sig = _signature_rows(batch)
-        nodes = [paths(sig, t, range(FIRST, FIRST + 1))[FIRST] for t in range(TREES)]
-        return pa.RecordBatch.from_arrays([pa.array(np.tile(batch.column("c").to_numpy(), TREES)), pa.array(np.repeat(np.arange(TREES, dtype=np.int32), len(sig))), pa.array(np.concatenate(nodes))], ["c", "tree", "node"])
+        tokens = _token_rows(batch)
+        nodes = [paths(tokens, t, range(start, start + 1), depth)[start] for t in range(trees)]
+        return pa.RecordBatch.from_arrays([pa.array(np.tile(batch.column("c").to_numpy(), trees)), pa.array(np.repeat(np.arange(trees, dtype=np.int32), len(tokens))), pa.array(np.concatenate(nodes))], ["c", "tree", "node"])
 
-    nodes = scratch.save(map_arrow(classes.select("c", "sig"), first, "c long, tree int, node long", 8192), "nodes")
+    nodes = scratch.save(map_arrow(classes.select("c", "tokens"), first, "c long, tree int, node long", 8192), "nodes")
     counts = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     held = scratch.save(nodes.join(counts, "node"), "held")
     scratch.drop("nodes")
     small = held.where(F.col("n") <= SMALL).select(F.col("node").alias("leaf"), "c")
-    deeper = range(FIRST + 1, DEPTH + 1)
+    large = held.where(F.col("n") > SMALL)
+    deeper = range(start + 1, depth + 1)
+    if not deeper:
+        return small, large.select(F.col("node").alias("leaf"), "c")
 
     def further(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sig, tree = _signature_rows(batch), batch.column("tree").to_numpy()
-        out = {d: np.zeros(len(sig), np.int64) for d in deeper}
+        tokens, tree = _token_rows(batch), batch.column("tree").to_numpy()
+        out = {d: np.zeros(len(tokens), np.int64) for d in deeper}
         for t in np.unique(tree).tolist():
             own = tree == t
-            for d, at in paths(sig[own], t, deeper).items():
+            for d, at in paths(tokens[own], t, deeper, depth).items():
                 out[d][own] = at
         return pa.RecordBatch.from_arrays([batch.column("c"), *(pa.array(out[d]) for d in deeper)], ["c", *(f"d{d}" for d in deeper)])
 
-    large = held.where(F.col("n") > SMALL).select("c", "tree").join(classes.select("c", "sig"), "c")
+    large = large.select("c", "tree").join(classes.select("c", "tokens"), "c")
     rows = scratch.save(map_arrow(large, further, "c long, " + ", ".join(f"d{d} long" for d in deeper), 8192), "deep")
     # each level is written, which keeps the plans that the driver holds small
     for d in deeper:
@@ -149,7 +175,7 @@ def leaves(classes: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
         level = scratch.save(rows.join(size, f"d{d}"), f"level-{d}")
         small = small.unionByName(level.where(F.col("n") <= SMALL).select(F.col(f"d{d}").alias("leaf"), "c"))
         rows = level.where(F.col("n") > SMALL).drop("n")
-    return small, rows.select(F.col(f"d{DEPTH}").alias("leaf"), "c")
+    return small, rows.select(F.col(f"d{depth}").alias("leaf"), "c")
 
 
 def compare_leaves(rows: DataFrame, least: float) -> DataFrame:
@@ -267,10 +293,11 @@ def verified(texts: DataFrame, group: DataFrame, n: int, percent: int) -> DataFr
 
 def _grouped(texts: DataFrame, words: int, percent: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """The shingle table, and set_key, rep and component of each class."""
-    table = scratch.save(shingle_table(texts, words), "signatures")
-    classes = table.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"))
+    trees, depth = forest_size(percent)
+    table = scratch.save(shingle_table(texts, words, trees * depth), "signatures")
+    classes = table.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("tokens").alias("tokens"))
     classes = scratch.save(classes.withColumn("c", F.monotonically_increasing_id()), "classes")
-    small, large = leaves(classes, scratch)
+    small, large = leaves(classes, scratch, trees, depth)
     share = percent / 100
     least = share - 4 * (share * (1 - share) / WIDTH) ** 0.5
     edges = scratch.save(compare_leaves(small.join(classes.select("c", "sig"), "c"), least), "edges")

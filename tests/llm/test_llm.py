@@ -289,6 +289,41 @@ def test_dropping_near_duplicates_leaves_one_row_of_each_group(spark, pipeline):
     assert all(after[t] == 1 for t in (a, b, c, d, f)) and len(a) > 400
 
 
+@pytest.mark.parametrize("percent", [80, 85])
+def test_paths_reach_the_stated_recall_at_the_last_depth(percent):
+    trees, depth = near_dedup.forest_size(percent)
+    dice = np.random.default_rng(percent)
+    n = 20_000
+    a = dice.integers(0, 2**32, (n, trees * depth), np.uint32)
+    b = np.where(dice.random(a.shape) < percent / 100, a, dice.integers(0, 2**32, a.shape, np.uint32))
+    met = np.zeros(n, bool)
+    for t in range(trees):
+        x, y = (near_dedup.paths(s.astype(np.uint16), t, range(depth, depth + 1), depth)[depth] for s in (a, b))
+        met |= x == y
+    # four standard errors of a share of 0.001
+    assert met.mean() >= near_dedup.RECALL - 0.0009
+
+
+def test_pairs_at_the_threshold_are_found_below_crowded_nodes(spark):
+    dice = random.Random(80)
+    word = lambda: "".join(dice.choice("abcdefghijklmnop") for _ in range(7))
+    common = [word() for _ in range(410)]  # boilerplate: unrelated texts have a similarity just below the threshold
+    texts = []
+    for _ in range(300):
+        own, pair = [word() for _ in range(40)], [word() for _ in range(54)]
+        texts += [" ".join(common + own + [word() for _ in range(54)]), " ".join(common + own + pair)]
+    sets = [byte_shingles(t, 5) for t in texts]
+    alike = lambda i, j: len(sets[i] & sets[j]) / len(sets[i] | sets[j])
+    assert all(0.8 <= alike(k, k + 1) < 0.81 for k in range(0, 600, 2)) and all(alike(0, k) < 0.8 for k in range(2, 600))
+    table = near_dedup.shingle_table(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 5, np.prod(near_dedup.forest_size(80))).toArrow()
+    tokens = near_dedup._token_rows(table.combine_chunks().to_batches()[0])
+    crowd = [max(Counter(near_dedup.paths(tokens, t, range(5, 6))[5].tolist()).values()) for t in range(near_dedup.forest_size(80)[0])]
+    assert max(crowd) > near_dedup.SMALL
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 5, 80).collect()}
+    found = sum(got[k + 1] == k == got[k] for k in range(0, 600, 2))
+    assert found >= 298 and all(got[k] >= k - 1 for k in got)
+
+
 def test_signature_agreement_is_jaccard():
     a, b = set(range(1000)), set(range(100, 1100))
     h = lambda s: np.unique(near_dedup.mix(np.array(sorted(s), np.uint64) + np.uint64(1)))
