@@ -1,5 +1,8 @@
 """Known licence texts and notices, by SPDX identifier."""
 
+import re
+from importlib import resources
+
 MIT = """MIT License
 
 Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
@@ -53,6 +56,22 @@ This program is distributed in the hope that it will be useful, but WITHOUT ANY
 You should have received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>."""
 
 
+def _whole_texts() -> list[tuple[str, str]]:
+    """The texts of known_licences, with and without what follows their terms.
+    Lines that begin with a claim are dropped, so the line breaks matter: each
+    text is known as it is broken there, and with every paragraph on one line."""
+    out = []
+    for file in sorted(resources.files(f"{__package__}.known_licences").iterdir(), key=lambda f: f.name):
+        if not file.name.endswith(".txt"):
+            continue
+        licence = file.name.removesuffix(".txt").removesuffix(".wrapped")
+        text = file.read_text("utf-8")
+        terms = re.match(r".*END OF TERMS AND CONDITIONS", text, re.DOTALL)
+        for form in (text, *([terms[0], terms[0].removesuffix("END OF TERMS AND CONDITIONS")] if terms else [])):
+            out += [(licence, form), (licence, "\n\n".join(" ".join(p.split()) for p in re.split(r"\n\s*\n", form)))]
+    return out
+
+
 #: (identifier, text). Short notices are texts too: a line that holds one is found by the line scan.
 KNOWN = [
     ("MIT", MIT),
@@ -83,4 +102,5 @@ KNOWN = [
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    *_whole_texts(),
 ]
