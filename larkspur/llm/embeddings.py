@@ -13,8 +13,8 @@ the tiles change the work, never the result: the search is exact. A task
 holds two tiles; it returns counts of links and a spanning forest, not pairs.
 
 Defined results: vectors that are null or empty, hold a null or a value that
-isn't finite, have norm zero, or have another length than most vectors link
-with nothing; repeated rows are vectors of their own that link with each other;
+isn't finite, or have norm zero link with nothing; vectors of different lengths
+don't link, and those of each length are compared by themselves; repeated rows are vectors of their own that link with each other;
 a null id keeps its row and links like any other, but names no component unless
 all its members are null; an empty table gives an empty result; other columns
 are not read.
@@ -145,34 +145,19 @@ class Forest:
             self.union(j, k)
 
 
-def near_duplicates(vectors: DataFrame, threshold: float, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """vec_id, n_links, component_id, kept of each vector."""
-    spark = vectors.sparkSession
-    scratch = Scratch(spark, "embeddings")
-    v = F.transform(F.col(vec_col), lambda x: x.cast("double") + F.lit(0.0))
-    rows = vectors.select(F.col(id_col).alias("vec_id"), v.alias("v"), F.monotonically_increasing_id().alias("row"))
-    finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    good = F.coalesce((F.size("v") > 0) & finite & F.exists("v", lambda x: x != 0), F.lit(False))
-    sizes = rows.where(good).groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
-    d = sizes[0].d if sizes else 0
-    good = good & (F.size("v") == d)
-    keyed = rows.select("vec_id", "v", good.alias("good"), F.when(good, F.xxhash64("v")).alias("k1"), F.when(good, F.xxhash64(F.lit(7), "v")).alias("k2"))
-    lone = keyed.select("vec_id", "k1", "k2")
-    classes = keyed.where("good").groupBy("k1", "k2").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n"), F.first("v").alias("v"))
-    classes = scratch.save(classes.withColumn("c", F.monotonically_increasing_id()), "classes")
-    total = classes.count()
-    if not total:
-        return lone.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+def _compared(classes: DataFrame, d: int, total: int, threshold: float, scratch: Scratch) -> DataFrame:
+    """c, links and to, a class linked with it, from all pairs of tiles of the
+    classes, which all are d long."""
     picked = classes.orderBy(F.xxhash64("k1", "k2"), "k1").limit(max(d, SAMPLE // d)).select("v").toArrow()
     cuts = Cuts(_matrix(picked.column("v")), min(MAX_TILES, -(-total // TILE)))
-    sent = spark.sparkContext.broadcast(cuts)
+    sent = classes.sparkSession.sparkContext.broadcast(cuts)
 
     def deal(batch: pa.RecordBatch) -> pa.RecordBatch:
         r = sent.value.rotate(_matrix(batch.column("v")))
         lead = np.ascontiguousarray(r[:, :BOX])
         return pa.RecordBatch.from_arrays([batch.column("c"), batch.column("n"), batch.column("v"), pa.array(sent.value.tile(r), pa.int64()), pa.array(list(lead), pa.list_(pa.float64()))], ["c", "n", "v", "tile", "lead"])
 
-    tiled = scratch.save(map_arrow(classes.select("c", "n", "v"), deal, "c long, n long, v array<double>, tile long, lead array<double>", 8192), "tiles")
+    tiled = scratch.save(map_arrow(classes.select("c", "n", "v"), deal, "c long, n long, v array<double>, tile long, lead array<double>", 8192), f"tiles-{d}")
     width = min(BOX, d)
     box = tiled.groupBy("tile").agg(*(f(F.get("lead", F.lit(k))).alias(f"{name}{k}") for k in range(width) for name, f in (("lo", F.min), ("hi", F.max)))).orderBy("tile").toPandas()
     low, high = (box[[f"{s}{k}" for k in range(width)]].to_numpy() for s in ("lo", "hi"))
@@ -183,7 +168,7 @@ def near_duplicates(vectors: DataFrame, threshold: float, id_col: str = "vec_id"
         gap = np.maximum(0, np.maximum(low[i] - high, low - high[i]))
         for j in np.flatnonzero((gap**2).sum(axis=1) <= 2 - 2 * threshold + 1e-6).tolist():
             near[t].append(int(number[j]))
-    pairs = spark.createDataFrame([(t, min(t, o), max(t, o)) for t, others in near.items() for o in others], "tile long, a long, b long")
+    pairs = classes.sparkSession.createDataFrame([(t, min(t, o), max(t, o)) for t, others in near.items() for o in others], "tile long, a long, b long")
     work = tiled.drop("lead").join(F.broadcast(pairs), "tile")
 
     def compare(table: pa.Table) -> pa.Table:
@@ -210,7 +195,29 @@ def near_duplicates(vectors: DataFrame, threshold: float, id_col: str = "vec_id"
         own = np.flatnonzero(counts)
         return pa.table({"c": pa.array(c[own], pa.int64()), "links": pa.array(counts[own], pa.int64()), "to": pa.array(c[root[own]], pa.int64())})
 
-    found = scratch.save(work.groupBy("a", "b").applyInArrow(compare, "c long, links long, to long"), "found")
+    return scratch.save(work.groupBy("a", "b").applyInArrow(compare, "c long, links long, to long"), f"found-{d}")
+
+
+def near_duplicates(vectors: DataFrame, threshold: float, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    """vec_id, n_links, component_id, kept of each vector."""
+    spark = vectors.sparkSession
+    scratch = Scratch(spark, "embeddings")
+    v = F.transform(F.col(vec_col), lambda x: x.cast("double") + F.lit(0.0))
+    rows = vectors.select(F.col(id_col).alias("vec_id"), v.alias("v"), F.monotonically_increasing_id().alias("row"))
+    finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    good = F.coalesce((F.size("v") > 0) & finite & F.exists("v", lambda x: x != 0), F.lit(False))
+    keyed = rows.select("vec_id", "v", good.alias("good"), F.when(good, F.xxhash64("v")).alias("k1"), F.when(good, F.xxhash64(F.lit(7), "v")).alias("k2"))
+    lone = keyed.select("vec_id", "k1", "k2")
+    classes = keyed.where("good").groupBy("k1", "k2").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n"), F.first("v").alias("v"))
+    classes = scratch.save(classes.withColumn("c", F.monotonically_increasing_id()), "classes")
+    lengths = classes.groupBy(F.size("v").alias("d")).count().orderBy("d").collect()
+    if not lengths:
+        return lone.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+    found = spark.createDataFrame([], "c long, links long, to long")
+    # a class that is alone of its length has nothing to be compared with
+    for size in lengths:
+        if size["count"] > 1:
+            found = found.unionByName(_compared(classes.where(F.size("v") == size.d), size.d, size["count"], threshold, scratch))
     group = components(found.select(F.col("c").alias("a"), F.col("to").alias("b")), scratch)
     links_of = found.groupBy("c").agg(F.sum("links").alias("links"))
     of_class = classes.select("c", "k1", "k2", "rep", "n").join(links_of, "c", "left").join(group.withColumnRenamed("vertex", "c"), "c", "left").withColumn("component", F.coalesce("component", "c"))

@@ -371,6 +371,13 @@ def test_embeddings_are_brute_force(spark, monkeypatch, tile, block):
     assert sorted(tuple(r) for r in embeddings.near_duplicates(df, 0.95).collect()) == want
 
 
+def test_embeddings_of_every_length_are_compared(spark):
+    a, b, c = [1.0, 2.0, 3.0], [1.0, 2.0], [5.0]
+    rows = [(1, a), (2, a), (3, [2.0, 4.0, 6.1]), (4, b), (5, b), (6, [2.0, 4.1]), (7, [2.0, -1.0]), (8, c), (9, c), (10, [7.0, 0.0, 0.0, 0.0]), (11, [0.0, 0.0]), (12, None)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 0.95).collect()}
+    assert got == {1: (2, 1), 2: (2, 1), 3: (2, 1), 4: (2, 4), 5: (2, 4), 6: (2, 4), 7: (0, 7), 8: (1, 8), 9: (1, 8), 10: (0, 10), 11: (0, 11), 12: (0, 12)}
+
+
 def test_no_embeddings(spark):
     assert embeddings.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>"), 0.95).count() == 0
     assert embeddings.near_duplicates(spark.createDataFrame([(1, None)], "vec_id long, embedding array<float>"), 0.95).first().component_id == 1
