@@ -40,7 +40,10 @@ from .shared import Scratch, is_plain, map_arrow, texts_of
 
 #: The word split over lower-cased texts for which is_plain() holds.
 WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
-CACHE = 150_000
+WORDS_AND_ENDS = re.compile(WORDS.pattern + r"|\n")
+END = b"\xff\xff\xff\xff"
+#: Chunks, and words, that a worker remembers; longer ones than LONG aren't.
+CACHE, LONG = 250_000, 64
 #: Share of a sequence from which a length counts as large, and the number of groups.
 LARGE, GROUPS = 1 / 3, 24
 
@@ -63,7 +66,9 @@ class WordEncoder:
         #: Only this scheme (lower case, white space dropped) splits as WORDS does.
         self.split = kinds == ["NFC", "Replace", "Lowercase"] and pre == ["Removed", False]
         self.specials = [t["content"] for t in spec.get("added_tokens", [])]
-        self.known: dict[str, bytes] = {}
+        self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+        self.merged: dict[str, bytes] = {"\n": END}
         if self.split:
             vocab, pairs = spec["model"]["vocab"], {}
             for rank, merge in enumerate(spec["model"]["merges"]):
@@ -79,6 +84,8 @@ class WordEncoder:
 
     def words(self, words: list[str]) -> list[bytes]:
         """Ids of single words, all merged together."""
+        if not words:
+            return []
         coded = [w.encode() for w in words]
         lens = np.fromiter(map(len, coded), np.int64, len(coded))
         raw = np.frombuffer(b"".join(coded), np.uint8)
@@ -91,25 +98,46 @@ class WordEncoder:
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, "<u4").tobytes() for x in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        """texts: in UTF-8. Nothing of this scheme's split crosses ASCII white
+        space, so a text is the sum of its chunks between that."""
         if not self.split:
-            return self.whole(texts)
-        out = [b""] * len(texts)
-        rest, cut = [], []
-        for i, t in enumerate(texts):
-            if is_plain(t) and not any(s in t for s in self.specials):
-                cut.append((i, WORDS.findall(t.lower())))
-            else:
-                rest.append(i)
-        for i, ids in zip(rest, self.whole([texts[i] for i in rest]), strict=True):
-            out[i] = ids
-        if len(self.known) > CACHE:
-            self.known.clear()
-        new = list({w for _, words in cut for w in words if w not in self.known})
-        if new:
-            self.known.update(zip(new, self.words(new), strict=True))
-        for i, words in cut:
-            out[i] = b"".join(map(self.known.__getitem__, words))
+            return self.whole([t.decode() for t in texts])
+        cut = [t.split() for t in texts]
+        parts = [list(map(self.known.get, chunks)) for chunks in cut]
+        holes = [[i for i, part in enumerate(p) if part is None] for p in parts]
+        learned = self.learn({chunks[i] for chunks, at in zip(cut, holes, strict=True) for i in at})
+        for chunks, part, at in zip(cut, parts, holes, strict=True):
+            for i in at:
+                part[i] = learned[chunks[i]]
+        return [b"".join(p) for p in parts]
+
+    def learn(self, chunks: set[bytes]) -> dict[bytes, bytes]:
+        """Ids of chunks that aren't known, and of those of their words."""
+        out = {c: self.older[c] for c in chunks if c in self.older}
+        fast = list(chunks - out.keys())
+        text = b"\n".join(fast).decode()
+        if not is_plain(text) or any(s in text for s in self.specials):
+            shown = [c.decode() for c in fast]
+            plain = [is_plain(t) and not any(s in t for s in self.specials) for t in shown]
+            odd = [c for c, p in zip(fast, plain, strict=True) if not p]
+            out.update(zip(odd, self.whole([c.decode() for c in odd]), strict=True))
+            fast = [c for c, p in zip(fast, plain, strict=True) if p]
+            text = b"\n".join(fast).decode()
+        if fast:
+            # all chunks at once, an id that no token has between them
+            words = WORDS_AND_ENDS.findall(text.lower())
+            new = list(set(words) - self.merged.keys())
+            if len(self.merged) + len(new) > CACHE:
+                new, self.merged = list(set(words) - {"\n"}), {"\n": END}
+            self.merged.update(zip(new, self.words(new), strict=True))
+            out.update(zip(fast, b"".join(map(self.merged.__getitem__, words)).split(END), strict=True))
+            for w in new:
+                if len(w) > LONG:
+                    del self.merged[w]
+        if len(self.known) + len(out) > CACHE:
+            self.known, self.older = {}, self.known  # what is still in use comes back from there
+        self.known.update(out if max(map(len, out), default=0) <= LONG else {c: ids for c, ids in out.items() if len(c) <= LONG})
         return out
 
 
@@ -130,7 +158,7 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, size: int, end_id: int, id_
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         end = np.array([end_id], "<u4").tobytes()
         out: tuple[list, ...] = ([], [], [], [], [])
-        for doc, ids in zip(batch.column("doc_id").to_pylist(), encoder(tokenizer_path).encode(batch.column("text").to_pylist()), strict=True):
+        for doc, ids in zip(batch.column("doc_id").to_pylist(), encoder(tokenizer_path).encode(batch.column("text").cast(pa.binary()).to_pylist()), strict=True):
             ids += end
             for piece, at in enumerate(range(0, len(ids), 4 * size)):
                 part = ids[at : at + 4 * size]
