@@ -16,7 +16,8 @@ whatever the corpus' size:
 
 Sequences of the same content form a run, so that the whole plan is a table of
 runs. A piece finds its place by its rank among the pieces of its length; ranks
-are counted in salted parts, so no length is ranked by a single task.
+are counted in salted parts, as many as a length's pieces need. Pieces that
+fill a sequence need neither rank nor plan.
 
 Defined results: a null or empty text is a piece that holds only the end id;
 null ids stay null; repeated rows are separate documents; an empty table gives
@@ -354,23 +355,33 @@ def places(runs: list[tuple[int, list[int]]]) -> dict[int, np.ndarray]:
     return {n: np.array(rows, np.int64) for n, rows in out.items()}
 
 
-def pack(docs: DataFrame, tokenizer_path: str, size: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", salts: int = 64) -> DataFrame:
+#: Pieces of one length that are ranked together, at least; about how many such parts there are at most, besides one a length.
+RANKED, PARTS = 1000, 100_000
+
+
+def pack(docs: DataFrame, tokenizer_path: str, size: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", ranked: int = RANKED) -> DataFrame:
     """A row for each piece: doc_id, piece, start, length, ids_crc32,
-    sequence_id and the offset there."""
+    sequence_id and the offset there. Full pieces are sequences of their own,
+    whose numbers are negative."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "packing")
     pieces = scratch.save(cut_pieces(docs, tokenizer_path, size, end_id, id_col, text_col), "pieces")
-    salted = pieces.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)).cast("int"))
-    # at most size * salts rows, whatever the number of pieces
-    found = salted.groupBy("length", "part").count().toArrow()
-    length, part, count = (found.column(c).to_numpy() for c in ("length", "part", "count"))
-    order = np.lexsort((part, length))
-    length, part, count = length[order], part[order], count[order]
-    total: dict[int, int] = defaultdict(int)
-    base = np.zeros(size * salts + salts, np.int64)
-    for n, p, c in zip(length.tolist(), part.tolist(), count.tolist(), strict=True):
-        base[n * salts + p] = total[n]
-        total[n] += c
+    total = {r["length"]: r["count"] for r in pieces.where(F.col("length") < size).groupBy("length").count().collect()}
+    ranked = max(ranked, sum(total.values()) // PARTS)
+    # parts of each length, so that one has about `ranked` rows; first part of each length in a row of all parts
+    parts = np.zeros(size + 1, np.int64)
+    for n, count in total.items():
+        parts[n] = -(-count // ranked)
+    first = np.cumsum(parts) - parts
+    of_length = lambda values: F.get(F.from_json(F.lit(str(values.tolist())), "array<bigint>"), F.col("length").cast("int"))
+    salt = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), of_length(parts))
+    salted = pieces.where(F.col("length") < size).withColumn("part", of_length(first) + salt)
+    # at most as many rows as lengths, and PARTS more
+    count = np.zeros(int(parts.sum()), np.int64)
+    for r in salted.groupBy("part").count().collect():
+        count[r["part"]] = r["count"]
+    base = np.cumsum(count) - count
+    base -= np.repeat(base[first[parts > 0]], parts[parts > 0])
     table = places(plan(total, size))
     starts = np.zeros(size + 2, np.int64)
     for n, rows in table.items():
@@ -380,19 +391,21 @@ def pack(docs: DataFrame, tokenizer_path: str, size: int = 2048, end_id: int = 0
     # about as many rows as runs times lengths in a sequence, which lengths bound, not pieces
     sent = spark.sparkContext.broadcast((base, starts, rows))
     rank = F.row_number().over(Window.partitionBy("length", "part").orderBy("doc_id", "piece", "start")) - 1
+    names = ["doc_id", "piece", "start", "length", "ids_crc32"]
 
     def place(batch: pa.RecordBatch) -> pa.RecordBatch:
         base, starts, rows = sent.value
-        n, p = batch.column("length").to_numpy(), batch.column("part").to_numpy()
-        rank = base[n * salts + p] + batch.column("rank").to_numpy()
+        n = batch.column("length").to_numpy()
+        rank = base[batch.column("part").to_numpy()] + batch.column("rank").to_numpy()
         # ranks of all lengths in one ascending row: the length in the high bits
         keys = np.repeat(np.arange(len(starts) - 1), np.diff(starts)) << 40 | rows[:, 0]
         at = np.searchsorted(keys, n << 40 | rank, "right") - 1
         put = [pa.array(rows[at, 1] + rank - rows[at, 0], pa.int64()), pa.array(rows[at, 2], pa.int64())]
-        names = ["doc_id", "piece", "start", "length", "ids_crc32"]
         return pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *put], [*names, "sequence_id", "offset"])
 
-    return map_arrow(salted.withColumn("rank", rank), place, f"{PIECES}, sequence_id long, offset long", 100_000)
+    placed = map_arrow(salted.withColumn("rank", rank), place, f"{PIECES}, sequence_id long, offset long", 100_000)
+    full = pieces.where(F.col("length") == size).select(*names, (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    return placed.unionByName(full)
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
