@@ -11,8 +11,10 @@ of a path, that is one large group of near copies) is tied to its least member.
 This gives candidate groups, with room below the threshold, so that a true link
 is missed only if no tree brings its two classes (or a chain of candidates)
 together. Within a candidate group every pair that isn't connected yet is
-decided on the full shingle sets: a task takes one block or a pair of blocks of
-BLOCK members and returns a spanning forest, never the pairs.
+decided on the full shingle sets: a task takes one block of BLOCK members, or
+two, and returns a spanning forest, never the pairs. The blocks of a large group
+share some members, by which a group of near copies becomes one in time linear
+in its size; only what stays outside its largest part meets all blocks.
 
 Chance of a link at similarity s in a node of depth d: 1 - (1 - s**d)**trees.
 There are as many trees as it takes for this to be RECALL at the similarity
@@ -42,7 +44,7 @@ from pyspark.sql import functions as F
 from .components import components
 from .embeddings import Forest
 from .hashing import WordHashes, mix, shingles
-from .shared import Scratch, map_arrow, texts_of
+from .shared import Scratch, map_arrow, maybe_in, texts_of
 
 #: Length of a signature, first and last depth at which nodes are looked at.
 WIDTH, FIRST, DEPTH = 64, 4, 8
@@ -50,6 +52,8 @@ WIDTH, FIRST, DEPTH = 64, 4, 8
 RECALL, MAX_TREES = 0.999, 64
 #: Members of a node that is compared exhaustively; members of a block of a candidate group.
 SMALL, BLOCK = 64, 1024
+#: Members of a large candidate group, about, that all of its blocks are compared with first.
+PIVOTS = 32
 _random = np.random.default_rng(6)
 _XOR = _random.integers(0, 2**63, MAX_TREES * DEPTH, np.uint64)
 _MUL = _random.integers(0, 2**63, MAX_TREES * DEPTH, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -80,11 +84,11 @@ def set_key(members: np.ndarray) -> str:
     return xxhash.xxh128_hexdigest(members.tobytes())
 
 
-def forest_size(percent: int) -> tuple[int, int]:
-    """Trees and their depth for the stated recall at percent / 100."""
+def forest_size(percent: int, recall: float = RECALL) -> tuple[int, int]:
+    """Trees and their depth for the recall at percent / 100."""
     share = percent / 100
     for depth in range(DEPTH, 0, -1):
-        trees = math.ceil(math.log(1 - RECALL) / math.log1p(-(share**depth))) if share < 1 else 1
+        trees = math.ceil(math.log(1 - recall) / math.log1p(-(share**depth))) if share < 1 else 1
         if trees <= MAX_TREES:
             return trees, depth
     raise ValueError(f"{percent} percent would take {trees} trees; at most {MAX_TREES} are made")
@@ -147,7 +151,8 @@ def leaves(classes: DataFrame, scratch: Scratch, trees: int, depth: int) -> tupl
         return pa.RecordBatch.from_arrays([pa.array(np.tile(batch.column("c").to_numpy(), trees)), pa.array(np.repeat(np.arange(trees, dtype=np.int32), len(tokens))), pa.array(np.concatenate(nodes))], ["c", "tree", "node"])
 
     nodes = scratch.save(map_arrow(classes.select("c", "tokens"), first, "c long, tree int, node long", 8192), "nodes")
-    counts = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    # counts are written, so that the joins with them can split what a crowded node holds
+    counts = scratch.save(nodes.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "counts")
     held = scratch.save(nodes.join(counts, "node"), "held")
     scratch.drop("nodes")
     small = held.where(F.col("n") <= SMALL).select(F.col("node").alias("leaf"), "c")
@@ -171,7 +176,7 @@ def leaves(classes: DataFrame, scratch: Scratch, trees: int, depth: int) -> tupl
     for d in deeper:
         if rows.isEmpty():
             break
-        size = rows.groupBy(f"d{d}").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        size = scratch.save(rows.groupBy(f"d{d}").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), f"counts-{d}")
         level = scratch.save(rows.join(size, f"d{d}"), f"level-{d}")
         small = small.unionByName(level.where(F.col("n") <= SMALL).select(F.col(f"d{d}").alias("leaf"), "c"))
         rows = level.where(F.col("n") > SMALL).drop("n")
@@ -212,16 +217,21 @@ def compare_leaves(rows: DataFrame, least: float) -> DataFrame:
     return rows.repartition("leaf").sortWithinPartitions("leaf").mapInArrow(run, "a long, b long")
 
 
-def linked(sets: list[np.ndarray], cut: int, percent: int) -> list[tuple[int, int]]:
+def linked(sets: list[np.ndarray], cut: int, percent: int, known: list[int] | None = None) -> list[tuple[int, int]]:
     """A spanning forest of the links between the sets: among all if cut is 0,
     else only between the first `cut` and the others. Pairs that are connected
-    already aren't looked at again."""
+    already, to begin with those of equal numbers in `known`, aren't looked at
+    again."""
     n = len(sets)
     size = np.array([len(s) for s in sets])
     flat, starts = np.concatenate(sets), np.cumsum(size) - size
     codes = np.unique(flat, return_inverse=True)[1].ravel()
     mark, trees, out = np.zeros(codes.max() + 1, bool), Forest(n), []
-    root = np.arange(n)
+    if known:
+        first_of: dict[int, int] = {}
+        for k, label in enumerate(known):
+            trees.union(first_of.setdefault(label, k), k)
+    root = np.array([trees.find(k) for k in range(n)])
     for i in range(cut or n):
         first = cut or i + 1
         # roots of earlier rounds merge only downwards, so a stale root costs work, not links
@@ -245,79 +255,132 @@ def linked(sets: list[np.ndarray], cut: int, percent: int) -> list[tuple[int, in
     return out
 
 
-def verified(texts: DataFrame, group: DataFrame, n: int, percent: int) -> DataFrame:
-    """Edges (a, b) that span the links within each candidate group. group: c,
-    rep, set_key, component, size."""
+def member_sets(texts: DataFrame, members: DataFrame, n: int) -> DataFrame:
+    """c, component, size and the set of each member. members: c, k, h,
+    set_key, component, size; texts: doc_id, text. Only rows that a bitmap of
+    the members lets through are shuffled, once for each id and text."""
 
     def sets(batch: pa.RecordBatch) -> pa.RecordBatch:
         made = [shingle_set(t, n) for t in batch.column("text").to_pylist()]
-        # rows that share an id may differ in text
         own = pa.array([set_key(s) == k for s, k in zip(made, batch.column("set_key").to_pylist(), strict=True)])
         out = pa.RecordBatch.from_arrays([batch.column("c"), batch.column("component"), batch.column("size"), pa.array([s.tobytes() for s in made], pa.binary())], ["c", "component", "size", "set"])
         return out.filter(own)
 
-    rows = texts.join(group, texts["doc_id"].eqNullSafe(group["rep"])).select("c", "component", "size", "set_key", "text")
-    rows = map_arrow(rows, sets, "c long, component long, size long, set binary", 256)
-    blocks = F.ceil(F.col("size") / BLOCK)
-    block = F.pmod(F.xxhash64("c"), blocks)
-    # a block meets itself and every other block of its group
-    met = F.transform(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda o: F.struct(F.least(block, o).alias("p"), F.greatest(block, o).alias("q")))
-    rows = rows.select("c", "component", "set", block.alias("block"), F.explode(met).alias("m")).select("c", "component", "set", "block", "m.p", "m.q")
-
-    def forest(c: list[int], blobs: list[bytes], block: list[int]) -> list[tuple[int, int]]:
-        order = sorted(range(len(c)), key=lambda k: (block[k], c[k]))
-        order = [k for at, k in enumerate(order) if not at or c[k] != c[order[at - 1]]]  # repeated rows
-        cut = sum(block[k] == block[order[0]] for k in order)
-        found = linked([np.frombuffer(blobs[k], np.uint64) for k in order], cut if cut < len(order) else 0, percent)
+    h = F.xxhash64("text")
+    rows = maybe_in(texts, F.xxhash64("doc_id", h), members.select("k"))
+    rows = rows.select(F.xxhash64("doc_id", h).alias("k"), h.alias("h"), "text").groupBy("k", "h").agg(F.first("text").alias("text"))
+    rows = rows.join(members, ["k", "h"]).select("c", "component", "size", "set_key", "text")
+    return map_arrow(rows, sets, "c long, component long, size long, set binary", 256)
+
+
+def _forests(rows: DataFrame, percent: int) -> DataFrame:
+    """Edges (a, b) that span the links within the rows of each (component, p, q).
+    rows: component, p, q, side, c, set, known; sides 0 and 1 are compared with
+    each other only, side 2 with all; equal numbers in `known` are connected already."""
+
+    def forest(side: list[int], c: list[int], blobs: list[bytes], known: list[int | None]) -> list[tuple[int, int]]:
+        order = sorted(range(len(c)), key=lambda k: (side[k], c[k]))
+        order = [k for at, k in enumerate(order) if not at or (side[k], c[k]) != (side[order[at - 1]], c[order[at - 1]])]
+        cut = sum(side[k] == 0 for k in order)
+        label = [c[k] if known[k] is None else known[k] for k in order]
+        if len(set(label)) == 1:
+            return []
+        found = linked([np.frombuffer(blobs[k], np.uint64) for k in order], cut if cut < len(order) else 0, percent, label)
         return [(c[order[i]], c[order[j]]) for i, j in found]
 
+    def edges_of(found: list[tuple[int, int]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([e[k] for e in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held = None, ([], [], [])
+        key, held = None, ([], [], [], [])
         for batch in batches:
-            columns = [batch.column(k).to_pylist() for k in ("component", "p", "q", "c", "set", "block")]
-            edges = []
-            for comp, p, q, c, blob, block in zip(*columns, strict=True):
+            columns = [batch.column(k).to_pylist() for k in ("component", "p", "q", "side", "c", "set", "known")]
+            found = []
+            for comp, p, q, *row in zip(*columns, strict=True):
                 if (comp, p, q) != key:
                     if key:
-                        edges += forest(*held)
-                    key, held = (comp, p, q), ([], [], [])
-                for x, y in zip(held, (c, blob, block), strict=True):
+                        found += forest(*held)
+                    key, held = (comp, p, q), ([], [], [], [])
+                for x, y in zip(held, row, strict=True):
                     x.append(y)
-            yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], pa.int64()) for k in (0, 1)], ["a", "b"])
+            yield edges_of(found)
         if key:
-            edges = forest(*held)
-            yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], pa.int64()) for k in (0, 1)], ["a", "b"])
+            yield edges_of(forest(*held))
 
-    return rows.repartition("component", "p", "q").sortWithinPartitions("component", "p", "q").mapInArrow(run, "a long, b long")
+    return rows.repartition("component", "p", "q").sortWithinPartitions("component", "p", "q").select("component", "p", "q", "side", "c", "set", "known").mapInArrow(run, "a long, b long")
 
 
-def _grouped(texts: DataFrame, words: int, percent: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """The shingle table, and set_key, rep and component of each class."""
-    trees, depth = forest_size(percent)
+def verified(sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """Edges (a, b) that span the links within each candidate group: all of
+    them, in two rounds.
+
+    A group of at most BLOCK members is compared by one task. A larger one is
+    dealt into blocks, and the same PIVOTS members or so go to each of its blocks:
+    what is near to them is connected then. Only what isn't connected with its
+    group's largest part by that has to meet the other blocks.
+    """
+    none = F.lit(None).cast("long")
+    zero = F.lit(0).cast("long")
+    blocks = F.ceil(F.col("size") / BLOCK)
+    block = F.pmod(F.xxhash64("c"), blocks)
+    pivot = F.pmod(F.xxhash64("c", F.lit(7)), F.col("size")) < PIVOTS
+    first = sets.select("component", "c", "set", F.explode(F.when((blocks > 1) & pivot, F.sequence(zero, blocks - 1)).otherwise(F.array(block))).alias("p"))
+    edges = scratch.save(_forests(first.select("component", "p", zero.alias("q"), F.lit(2).alias("side"), "c", "set", none.alias("known")), percent), "edges-1")
+    large = sets.where(F.col("size") > BLOCK)
+    if large.isEmpty():
+        return edges
+    ids = large.select("component", "size", "c")
+    parts = components(edges.join(ids.select(F.col("c").alias("a")), "a", "left_semi"), scratch, "parts")
+    own = ids.join(parts.select(F.col("vertex").alias("c"), F.col("component").alias("known")), "c", "left").withColumn("known", F.coalesce("known", "c"))
+    own = scratch.save(own, "own")
+    counted = own.groupBy("component", "known").agg(F.count(F.lit(1)).alias("n"), F.first("size").alias("size"))
+    top = counted.groupBy("component").agg(F.max(F.struct("n", (-F.col("known")).alias("least"))).alias("top"), F.first("size").alias("all"))
+    # groups of which some members aren't in the largest part, and how many
+    split = scratch.save(top.select("component", (-F.col("top.least")).alias("top"), (F.col("all") - F.col("top.n")).alias("rest")).where("rest > 0"), "split")
+    if split.isEmpty():
+        return edges
+    rows = large.join(own.select("c", "known"), "c").join(split, "component")
+    rests = F.ceil(F.col("rest") / BLOCK)
+    to_rests = rows.select("component", F.explode(F.sequence(zero, rests - 1)).alias("p"), block.alias("q"), F.lit(1).alias("side"), "c", "set", "known")
+    to_all = rows.where("known <> top").select("component", F.pmod(F.xxhash64("c", F.lit(1)), rests).alias("p"), F.explode(F.sequence(zero, blocks - 1)).alias("q"), F.lit(0).alias("side"), "c", "set", "known")
+    return edges.unionByName(scratch.save(_forests(to_rests.unionByName(to_all), percent), "edges-2"))
+
+
+def _grouped(texts: DataFrame, words: int, percent: int, recall: float, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """doc_id, h, n_shingles and set_key of each row, and set_key, rep and
+    component of each class."""
+    trees, depth = forest_size(percent, recall)
     table = scratch.save(shingle_table(texts, words, trees * depth), "signatures")
-    classes = table.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("tokens").alias("tokens"))
+    rows = scratch.save(table.select("doc_id", "h", "n_shingles", "set_key"), "thin")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h")).alias("of")
+    classes = table.where("set_key is not null").groupBy("set_key").agg(least, F.first("sig").alias("sig"), F.first("tokens").alias("tokens"))
+    classes = classes.select("set_key", F.col("of.doc_id").alias("rep"), "of.h", "sig", "tokens")
     classes = scratch.save(classes.withColumn("c", F.monotonically_increasing_id()), "classes")
+    scratch.drop("signatures")
     small, large = leaves(classes, scratch, trees, depth)
     share = percent / 100
     least = share - 4 * (share * (1 - share) / WIDTH) ** 0.5
     edges = scratch.save(compare_leaves(small.join(classes.select("c", "sig"), "c"), least), "edges")
     if not large.isEmpty():
-        head = large.groupBy("leaf").agg(F.min("c").alias("b"))
+        head = scratch.save(large.groupBy("leaf").agg(F.min("c").alias("b")), "heads")
         edges = edges.unionByName(large.join(head, "leaf").select(F.col("c").alias("a"), "b"))
     group = scratch.save(components(edges, scratch, "candidates"), "groups")
-    size = group.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    group = group.withColumnRenamed("vertex", "c").join(size, "component").join(classes.select("c", "rep", "set_key"), "c")
-    links = scratch.save(verified(texts, scratch.save(group, "members"), words, percent), "links")
-    found = components(links, scratch, "links-of")
+    size = scratch.save(group.groupBy("component").agg(F.count(F.lit(1)).alias("size")), "sizes")
+    members = group.withColumnRenamed("vertex", "c").join(size, "component").join(classes.select("c", F.xxhash64("rep", "h").alias("k"), "h", "set_key"), "c")
+    members = scratch.save(members, "members")
+    sets = scratch.save(member_sets(texts, members, words), "sets")
+    found = components(verified(sets, percent, scratch), scratch, "links")
     of_class = classes.select("c", "set_key", "rep").join(found.withColumnRenamed("vertex", "c"), "c", "left")
-    return table, of_class.select("set_key", "rep", F.coalesce("component", "c").alias("component"))
+    of_class = scratch.save(of_class.select("set_key", "rep", F.coalesce("component", "c").alias("component")), "of-class")
+    scratch.keep("thin", "of-class")
+    return rows, of_class
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, recall: float = RECALL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept of each document. Linked are
     documents whose sets of `words`-word shingles have a Jaccard similarity of
-    at least percent / 100."""
-    table, of_class = _grouped(texts_of(docs, id_col, text_col), words, percent, Scratch(docs.sparkSession, "near-dedup"))
+    at least percent / 100; recall: the chance that two of just that meet."""
+    table, of_class = _grouped(texts_of(docs, id_col, text_col), words, percent, recall, Scratch(docs.sparkSession, "near-dedup"))
     named = of_class.groupBy("component").agg(F.min("rep").alias("component_id"))
     of_class = of_class.join(named, "component").select("set_key", "component_id")
     out = table.select("doc_id", "n_shingles", "set_key").join(of_class, "set_key", "left")
@@ -325,15 +388,15 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, recall: float = RECALL) -> DataFrame:
     """The documents, all columns, one row of each group: of the least id (a
     null id only if there is no other), whatever else has that id. Rows without
     shingles are groups of their own."""
     scratch = Scratch(docs.sparkSession, "near-dedup")
-    table, of_class = _grouped(texts_of(docs), words, percent, scratch)
+    table, of_class = _grouped(texts_of(docs), words, percent, recall, scratch)
     rows = table.where("set_key is not null").groupBy("doc_id", "h").agg(F.first("set_key").alias("set_key"), F.count(F.lit(1)).alias("n"))
     rows = scratch.save(rows.join(of_class.select("set_key", "component"), "set_key"), "rows")
-    one = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h")).alias("one"))
+    one = scratch.save(rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h")).alias("one")), "one")
     chosen = F.col("doc_id").eqNullSafe(F.col("one.doc_id")) & (F.col("h") == F.col("one.h"))
     # what goes (0), and what is there several times over (how often); all else stays as it is
     fate = rows.join(one, "component").select(F.col("doc_id").alias("_id"), F.col("h").alias("_of"), F.when(chosen, F.col("n")).otherwise(0).alias("_n"))

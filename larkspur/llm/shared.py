@@ -13,7 +13,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -48,6 +48,13 @@ class Scratch:
         df.write.mode("overwrite").parquet(self.path(table))
         return self.spark.read.schema(nullable(df.schema)).parquet(self.path(table))
 
+    def keep(self, *tables: str) -> None:
+        """Deletes all tables but these."""
+        jvm = self.spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(self.root)
+        found = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).listStatus(path)
+        self.drop(*(name for f in found if (name := f.getPath().getName()) not in tables))
+
     def drop(self, *tables: str) -> None:
         """Deletes tables that no later plan reads."""
         jvm = self.spark.sparkContext._jvm
@@ -57,6 +64,32 @@ class Scratch:
             path.getFileSystem(conf).delete(path, True)
 
 
+#: Bits of a filter at most (32 MB in broadcast), and for each key.
+FILTER_BITS, BITS_A_KEY = 1 << 28, 16
+_BITMAP = 1 << 15  # bits of one of Spark's bitmaps
+
+
+def maybe_in(rows: DataFrame, key: Column, keys: DataFrame, most: int = FILTER_BITS) -> DataFrame:
+    """The rows whose 64-bit key is in `keys` (one column), and about one in
+    BITS_A_KEY of the others, by a bitmap that is broadcast: what a join that
+    follows needn't shuffle. All rows if the bitmap would have over `most` bits."""
+    bits = _BITMAP
+    n = keys.count()
+    while bits < BITS_A_KEY * n:
+        bits *= 2
+    if bits > most:
+        return rows
+    at = lambda c: F.pmod(c, F.lit(bits))
+    spot = at(F.col(keys.columns[0]))
+    maps = keys.groupBy(F.shiftright(spot, 15).alias("_chunk")).agg(F.bitmap_construct_agg(spot.bitwiseAND(F.lit(_BITMAP - 1))).alias("_map"))
+    tried = rows.withColumn("_at", at(key))
+    tried = tried.join(F.broadcast(maps), F.shiftright("_at", 15) == F.col("_chunk"))
+    low = F.col("_at").bitwiseAND(F.lit(_BITMAP - 1)).cast("int")
+    byte = F.conv(F.hex(F.substring("_map", F.shiftright(low, 3) + 1, F.lit(1))), 16, 10).cast("int")
+    hit = F.pmod(F.floor(byte / F.pow(F.lit(2), low.bitwiseAND(F.lit(7)))), F.lit(2)) == 1
+    return tried.where(hit).select(*rows.columns)
+
+
 def nullable(schema: StructType) -> StructType:
     out = StructType()
     for field in schema:

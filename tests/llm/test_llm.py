@@ -11,7 +11,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from larkspur.llm import embeddings, fingerprint, labelled, licences, near_dedup, packing, quality, sentencepiece_codec, suffixes, token_count, toxicity
+from larkspur.llm import embeddings, fingerprint, labelled, licences, near_dedup, packing, quality, sentencepiece_codec, shared, suffixes, token_count, toxicity
 from larkspur.llm.components import components
 from larkspur.llm.shared import Scratch
 
@@ -275,10 +275,36 @@ def byte_shingles(text, n):
     return {tuple(words[k : k + n]) for k in range(len(words) - n + 1)}
 
 
-@pytest.mark.parametrize("small,block", [(64, 1024), (2, 3)])
-def test_near_duplicates_are_brute_force(spark, monkeypatch, small, block):
+def test_maybe_in_keeps_all_of_the_keys(spark):
+    rows = spark.range(20_000).withColumn("k", F.xxhash64("id"))
+    keys = rows.where("id % 10 = 3").select("k")
+    got = [r.id for r in shared.maybe_in(rows, F.col("k"), keys).collect()]
+    assert {k for k in range(20_000) if k % 10 == 3} <= set(got) and len(got) == len(set(got)) < 5000
+    assert shared.maybe_in(rows, F.col("k"), keys, most=10).count() == 20_000
+    assert shared.maybe_in(rows, F.col("k"), keys.where("false")).count() == 0
+
+
+def test_members_of_large_groups_are_linked_across_blocks(spark, tmp_path, monkeypatch):
+    """A chain (each links with the next only) besides a crowd of near copies, in one candidate group."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 5)
+    monkeypatch.setattr(near_dedup, "PIVOTS", 1)
+    sets = [np.arange(100 * 3 + k, 100 * 3 + k + 50, dtype=np.uint64) for k in range(0, 200, 8)]
+    sets += [np.r_[np.arange(40, dtype=np.uint64), np.array([90 + k], np.uint64)] for k in range(40)]
+    sets += [np.arange(1000 + k * 60, 1050 + k * 60, dtype=np.uint64) for k in range(3)]
+    rows = [(k, 1, len(sets), s.tobytes()) for k, s in enumerate(sets)]
+    df = spark.createDataFrame(rows, "c long, component long, size long, set binary")
+    scratch = Scratch(spark, "test")
+    got = components(near_dedup.verified(df, 70, scratch), scratch)
+    want = brute_components([set(s.tolist()) for s in sets], lambda a, b: 100 * len(a & b) >= 70 * len(a | b))
+    found = {r.vertex: r.component for r in got.collect()}
+    assert [found.get(k, k) for k in range(len(sets))] == want and len(set(want)) == 5
+
+
+@pytest.mark.parametrize("small,block,pivots", [(64, 1024, 32), (2, 3, 32), (2, 3, 1)])
+def test_near_duplicates_are_brute_force(spark, monkeypatch, small, block, pivots):
     monkeypatch.setattr(near_dedup, "SMALL", small)
     monkeypatch.setattr(near_dedup, "BLOCK", block)
+    monkeypatch.setattr(near_dedup, "PIVOTS", pivots)
     base = [[made_text(4).replace(" ", "x") for _ in range(80)] for _ in range(6)]
     texts = []
     for k in range(90):
