@@ -21,7 +21,8 @@ def components(edges: DataFrame, scratch: Scratch, name: str = "components") ->
     before, at = _state(edge), 0
     while before[0]:
         both = edge.unionByName(edge.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        # written, so that the join with it can split what a vertex of many edges has
+        least = scratch.save(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), f"{name}-least")
         # large star: what is greater than u moves to the least around u
         large = edge.select(F.col("v").alias("u"), F.col("u").alias("v")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = scratch.save(large, f"{name}-large")
@@ -31,7 +32,7 @@ def components(edges: DataFrame, scratch: Scratch, name: str = "components") ->
         made = small.unionByName(down.select("u", F.col("m").alias("v"))).distinct()
         at += 1
         edge = scratch.save(made, f"{name}-{at}")
-        scratch.drop(f"{name}-{at - 1}")
+        scratch.drop(f"{name}-{at - 1}", f"{name}-least", f"{name}-large")
         after = _state(edge)
         if after == before:
             break
