@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .hashing import mix
-from .shared import Scratch, map_arrow, texts_of
+from .shared import Scratch, map_arrow, maybe_in, texts_of
 
 
 class Unit(NamedTuple):
@@ -77,8 +77,8 @@ BYTES, WORDS = Unit(400, 100, False), Unit(51, 13, True)
 #: Borders of one gram in a bucket, symbols of a text worked on at a time, suffixes sorted at a time.
 SPLIT, CHUNK, SORTED = 4096, 1 << 20, 16_384
 _random = np.random.default_rng(9)
-_OF_BYTE = _random.integers(0, 2**64, (2, 256), np.uint64)
-_BASE = [0x9E3779B97F4A7C15 | 5, 0xC2B2AE3D27D4EB4F | 5]
+_OF_BYTE = _random.integers(0, 2**64, 256, np.uint64)
+_BASE = 0x9E3779B97F4A7C15 | 5
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -87,18 +87,26 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
+def _digests(raw: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """128-bit digests, two numbers each, of stretches of a text's symbols."""
+    view = memoryview(raw.tobytes())
+    one = raw.itemsize
+    found = b"".join([xxhash.xxh128_digest(view[one * a : one * b]) for a, b in zip(begin.tolist(), end.tolist(), strict=True)])
+    return np.frombuffer(found, np.uint64).reshape(-1, 2)
+
+
 class _Sums:
-    """Digests of all stretches of a text from sums over its prefixes."""
+    """Hashes of all grams of a text from sums over its prefixes; they choose anchors and say nothing of equality."""
 
-    _power: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    _power: tuple[np.ndarray, np.ndarray] = (np.zeros(0, np.uint64), np.zeros(0, np.uint64))
 
-    def __init__(self, raw: np.ndarray, which: int):
+    def __init__(self, raw: np.ndarray):
         n = max(len(raw) + 1, 1 << 14)
-        if which not in self._power or len(self._power[which][0]) < n:
-            self._power[which] = (_powers(_BASE[which], n), _powers(pow(_BASE[which], -1, 2**64), n))
-        power, self.inverse = self._power[which]
+        if len(self._power[0]) < n:
+            _Sums._power = (_powers(_BASE, n), _powers(pow(_BASE, -1, 2**64), n))
+        power, self.inverse = self._power
         self.sums = np.zeros(len(raw) + 1, np.uint64)
-        of_symbol = _OF_BYTE[which][raw] if raw.dtype == np.uint8 else mix(raw ^ _OF_BYTE[which][0])
+        of_symbol = _OF_BYTE[raw] if raw.dtype == np.uint8 else mix(raw ^ _OF_BYTE[0])
         np.cumsum(of_symbol * power[: len(raw)], out=self.sums[1:])
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -126,9 +134,8 @@ def anchors(raw: np.ndarray, unit: Unit = BYTES) -> tuple[np.ndarray, ...]:
         piece = raw[at : at + CHUNK + length - 1]  # the windows that start in this chunk
         if len(piece) < length:
             continue
-        one, two = _Sums(piece, 0), _Sums(piece, 1)
         place = np.arange(len(piece) - unit.gram + 1)
-        gram = one.of(place, place + unit.gram)
+        gram = _Sums(piece).of(place, place + unit.gram)
         # least hash, leftmost among equals: the place fills the low bits
         keys = gram & ~np.uint64(0x3FFFFF) | place.astype(np.uint64)
         chosen = (_window_minima(keys, unit.reach + 1) & np.uint64(0x3FFFFF)).astype(np.int64)
@@ -136,7 +143,8 @@ def anchors(raw: np.ndarray, unit: Unit = BYTES) -> tuple[np.ndarray, ...]:
         ends = np.r_[begins[1:], len(chosen)] - 1
         p = chosen[begins]
         span = (p - begins).astype(np.uint64) << np.uint64(32) | (p - ends).astype(np.uint64)
-        parts.append((gram[p], one.of(begins, ends + length) ^ span * np.uint64(0x9E3779B97F4A7C15), two.of(begins, ends + length), p + at, begins + at, ends + at))
+        f = _digests(piece, begins, ends + length)
+        parts.append((gram[p], f[:, 0] ^ span * np.uint64(0x9E3779B97F4A7C15), f[:, 1], p + at, begins + at, ends + at))
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True)) if parts else tuple(np.zeros(0, np.int64) for _ in range(6))
 
 
@@ -248,7 +256,8 @@ def _compare(part: pa.Table, unit: Unit) -> pa.RecordBatch:
         for k in np.flatnonzero(open_.any(axis=1)).tolist():
             raw, o = np.frombuffer(blobs[k], unit.kind), np.flatnonzero(open_[k])
             at = high[k] - o
-            found.append((np.full(len(o), k), place[k] - o, _Sums(raw, 0).of(at, at + unit.length).astype(np.int64), _Sums(raw, 1).of(at, at + unit.length).astype(np.int64)))
+            w = _digests(raw, at, at + unit.length).astype(np.int64)
+            found.append((np.full(len(o), k), place[k] - o, w[:, 0], w[:, 1]))
         if found:
             more, start, w1, w2 = (np.concatenate(x) for x in zip(*found, strict=True))
     rows = pa.array(np.r_[row, more])
@@ -298,6 +307,8 @@ def repeats(texts: DataFrame, scratch: Scratch, unit: Unit = BYTES) -> DataFrame
     # all stretches less those that occur once, taken from each other where a text's spans meet: a join of all anchors less
     covered = found.select(*stretch, F.lit(False).alias("lone")).unionByName(whole.where("n = 1").select(*stretch, F.lit(True).alias("lone")))
     group = whole.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds"), F.min("n").alias("least")).where("kinds > 1 and least = 1").select("gram", "kinds")
+    # written, so that the join with it can split what a frequent gram has
+    group = scratch.save(group, "kinds")
     border = whole.join(group, "gram").withColumn("parts", F.ceil(F.col("kinds") / SPLIT))
     border = border.withColumn("part", F.pmod(F.xxhash64("f1", "f2"), "parts"))
     wanted = border.groupBy("doc_id", "h").agg(F.collect_list(F.struct("gram", "place", "first", "last", "parts", "part")).alias("at"))
@@ -313,7 +324,9 @@ def repeats(texts: DataFrame, scratch: Scratch, unit: Unit = BYTES) -> DataFrame
         return pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], kind) for k, kind in enumerate(kinds)], ["doc_id", "h", "gram", "place", "first", "last", "parts", "part", "bytes", "head"])
 
     # a text repeated with its id is cut once: its stretches are the same
-    once = texts.join(scratch.save(wanted, "wanted").withColumnsRenamed({"doc_id": "id2", "h": "h2"}), F.col("doc_id").eqNullSafe(F.col("id2")) & (F.col("h") == F.col("h2")))
+    wanted = scratch.save(wanted.withColumn("k", F.xxhash64("doc_id", "h")), "wanted")
+    once = maybe_in(texts, F.xxhash64("doc_id", "h"), wanted.select("k"))
+    once = once.join(wanted.withColumnsRenamed({"doc_id": "id2", "h": "h2"}), F.col("doc_id").eqNullSafe(F.col("id2")) & (F.col("h") == F.col("h2")))
     cuts = map_arrow(once.select("doc_id", "h", "text", "at"), cut, "doc_id long, h long, gram long, place long, first long, last long, parts long, part long, bytes binary, head binary", 64)
     cuts = scratch.save(cuts, "suffixes")
     buckets = max(1, int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
@@ -358,14 +371,16 @@ def _in_bytes(raw: bytes, spans: list[int], unit: Unit) -> list[tuple[int, int]]
 
 def _with_spans(texts: DataFrame, units: tuple[Unit, ...]) -> DataFrame:
     """texts with `spans0` and so on: for each unit, the stretches of each row in one array (null: none)."""
-    texts = out = texts.withColumn("h", F.xxhash64("text"))
+    texts = texts.withColumn("h", F.xxhash64("text"))
+    every = None
     for k, unit in enumerate(units):
         scratch = Scratch(texts.sparkSession, "suffixes")
-        spans = repeats(texts, scratch, unit).select(F.col("doc_id").alias("id2"), F.col("h").alias("h2"), F.col("spans").alias(f"spans{k}"))
-        spans = scratch.save(spans, "spans")
-        scratch.drop("repeated", "stretches", "wanted", "suffixes", "compared")
-        out = out.join(spans, F.col("doc_id").eqNullSafe(F.col("id2")) & (F.col("h") == F.col("h2")), "left").drop("id2", "h2")
-    return out.drop("h")
+        spans = scratch.save(repeats(texts, scratch, unit), "spans").withColumn("unit", F.lit(k))
+        scratch.keep("spans")
+        every = every.unionByName(spans) if every else spans
+    of_unit = (F.first(F.when(F.col("unit") == k, F.col("spans")), ignorenulls=True).alias(f"spans{k}") for k in range(len(units)))
+    every = every.groupBy(F.col("doc_id").alias("id2"), F.col("h").alias("h2")).agg(*of_unit)
+    return texts.join(every, F.col("doc_id").eqNullSafe(F.col("id2")) & (F.col("h") == F.col("h2")), "left").drop("id2", "h2", "h")
 
 
 def _kept(text: str, *spans: tuple[Unit, list[int] | None]) -> tuple[bytes, list[tuple[int, int]]]:
@@ -375,20 +390,27 @@ def _kept(text: str, *spans: tuple[Unit, list[int] | None]) -> tuple[bytes, list
     return b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)), gone
 
 
+def passage_words(spans: list[int] | None, unit: Unit) -> int:
+    """Words that spans of a unit of words cover."""
+    return sum(b - a for a, b in _merge((b, b + n) for b, n in (divmod(s, unit.span) for s in spans or [])))
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each document."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each document, and
+    n_passage_words: its words in passages of over 50 words that occur again."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = batch.column("text").to_pylist()
         made = [_kept(t, (BYTES, s)) for t, s in zip(texts, batch.column("spans0").to_pylist(), strict=True)]
         gone = [sum(b - a for a, b in g) for _, g in made]
+        passages = [passage_words(s, WORDS) for s in batch.column("spans1").to_pylist()]
         return pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array([len(k) + g for (k, _), g in zip(made, gone, strict=True)], pa.int64()), pa.array(gone, pa.int64()), pa.array([len(g) for _, g in made], pa.int64()), pa.array([hashlib.sha256(k).hexdigest() for k, _ in made])],
-            ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
+            [batch.column("doc_id"), pa.array([len(k) + g for (k, _), g in zip(made, gone, strict=True)], pa.int64()), pa.array(gone, pa.int64()), pa.array([len(g) for _, g in made], pa.int64()), pa.array([hashlib.sha256(k).hexdigest() for k, _ in made]), pa.array(passages, pa.int64())],
+            ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passage_words"],
         )
 
-    rows = _with_spans(texts_of(docs, id_col, text_col), (BYTES,)).select("doc_id", "text", "spans0")
-    return map_arrow(rows, run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", 128)
+    rows = _with_spans(texts_of(docs, id_col, text_col), (BYTES, WORDS)).select("doc_id", "text", "spans0", "spans1")
+    return map_arrow(rows, run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passage_words long", 128)
 
 
 def drop_repeats(docs: DataFrame, *units: Unit) -> DataFrame:

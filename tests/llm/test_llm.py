@@ -506,7 +506,7 @@ def test_repeats_are_brute_force(spark, monkeypatch, split, run, chunk):
         rows.append((k, text))
     rows += [(400, None), (401, ""), (402, "a" * 3000), (403, "ab" * 300), (404, rows[5][1]), (405, rows[6][1][:200] + "x" + rows[6][1][200:]), (7, rows[7][1]), (None, rows[8][1]), (406, "a" * 399), (407, made_text(900) * 2)]
     got = suffixes.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"))
-    assert sorted((tuple(r) for r in got.collect()), key=str) == brute_repeats(rows)
+    assert sorted((tuple(r)[:5] for r in got.collect()), key=str) == brute_repeats(rows)
 
 
 def test_repeat_edges(edges):
@@ -542,6 +542,8 @@ def test_repeated_passages_of_over_50_words(spark, monkeypatch, split, run, chun
     assert any(len(want[k]) < len(t) and len(" ".join(t).encode()) < 400 for k, t in enumerate(made))
     got = suffixes.drop_repeats(spark.createDataFrame(rows, "doc_id long, text string"), suffixes.WORDS)
     assert {r.doc_id: r.text.split() for r in got.collect()} == want
+    counted = suffixes.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id: r.n_passage_words for r in counted.collect()} == {k: len(t) - len(want[k]) for k, t in enumerate(made)}
 
 
 def test_pipeline_drops_short_passages_of_over_50_words_and_long_strings(spark, pipeline):
