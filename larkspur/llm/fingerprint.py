@@ -9,13 +9,12 @@ the probability of their generalised Jaccard similarity (sum of least weights by
 sum of greatest). A fingerprint holds 16 bits of each sample.
 
 Everything is a DataFrame expression. Documents are dealt once, by ranges of
-doc_id whose borders follow a histogram of at most CELLS counts; the first
-document of each range also goes to the range before it, where it is the
-successor of the last. Terms, samples and comparisons then need no further
+doc_id whose borders are approximate quantiles; the first document of each range
+also goes to the range before it, where it is the successor of the last. Terms, samples and comparisons then need no further
 shuffle, because each step groups by the range and something more.
 
 Defined results: a null text counts as empty, an empty text is one empty term;
-null ids come first, ties of doc_id go by text; equal texts have equal
+null ids come first, ties of doc_id go by a hash of the text and then by text; equal texts have equal
 fingerprints; of rows that agree in id and text each gets its row; a sole
 document is its own successor; an empty table gives an empty result; other
 columns are not read.
@@ -29,33 +28,46 @@ from pyspark.sql import functions as F
 from .shared import texts_of
 
 SAMPLES = 48
-#: Cells of equal width in the histogram of doc_id, and document ranges per shuffle partition.
-CELLS, RANGES = 1 << 16, 8
+#: Document ranges per shuffle partition, and at most.
+RANGES, MOST_RANGES = 8, 1 << 14
 _OWN = " "  # begins the entries that carry a document's own values; no term holds a space
 
 
 def ranges(ids: DataFrame, n: int) -> tuple[Column, Column, Column] | None:
-    """The range of a doc_id, whether it is the first of its range, and the
-    range before that. ids: doc_id; what the driver sees are CELLS counts."""
-    d = F.col("doc_id").cast("double")
-    low, high, rows = ids.select(F.min(d), F.max(d), F.count(F.lit(1))).first()
-    if not rows:
+    """The range of a row, whether it is among the first of its range, and the
+    range before that. ids: doc_id and tie. About n ranges: their borders are
+    quantiles of doc_id; an id (or no id) that fills several is dealt by tie.
+    The driver sees n numbers."""
+    own = F.coalesce(F.col("doc_id"), F.lit(-(2**63)))
+    found = ids.agg(F.percentile_approx(own, F.array(*(F.lit(k / n) for k in range(1, max(2, n)))), F.lit(max(10_000, 20 * n)))).first()[0]
+    if found is None:
         return None
-    low, high = (0.0, 0.0) if low is None else (low, high)
-    cell = F.when(F.col("doc_id").isNull(), 0).otherwise(F.least(F.lit(CELLS - 1), F.floor((d - low) * (CELLS / (high - low + 1))).cast("int")))
-    found = ids.groupBy(cell.alias("cell")).agg(F.count(F.lit(1)).alias("n"), F.min(F.when(F.col("doc_id").isNull(), F.lit(-(2**63))).otherwise(F.col("doc_id"))).alias("first")).orderBy("cell").collect()
-    of_cell, first, at, have = [0] * CELLS, [], 0, 0
-    share, seen = -(-rows // n), -1
-    for c, count, least in found:
-        if not first or have + count > share and have:
-            first.append(least)
-            at, have = len(first) - 1, 0
-        have += count
-        of_cell[seen + 1 : c + 1] = [at] * (c - seen)
-        seen = c
+    starts, parts = [-(2**63)], [1]
+    for value in sorted(set(found)):
+        times = found.count(value)
+        if value > starts[-1]:
+            starts.append(value)
+            parts.append(1)
+        if times > 1 and value < 2**63 - 1:
+            parts[-1] = times
+            starts.append(value + 1)
+            parts.append(1)
+    before = [sum(parts[:k]) for k in range(len(parts))]
+    # a search by halves for the last start that isn't greater
+    steps = [1 << k for k in reversed(range(len(starts).bit_length()))]
+    all_starts, size = _array(starts, "bigint"), F.lit(len(starts))
+    place = F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda at, step: F.when((at + step < size) & (F.get(all_starts, at + step) <= own), at + step).otherwise(at))
+    share = F.shiftrightunsigned("tie", 32) * (2.0**-32)
+    cell = F.get(_array(before, "int"), place) + F.floor(share * F.get(_array(parts, "int"), place)).cast("int")
+    # ranges without rows have no number
+    first = ids.groupBy(cell.alias("cell")).agg(F.min(F.struct(own.alias("own"), F.shiftrightunsigned("tie", 1).alias("tie"))).alias("first")).orderBy("cell").collect()
+    of_cell = [0] * sum(parts)
+    for k, row in enumerate(first):
+        of_cell[row["cell"]] = k
     of_range = F.get(_array(of_cell, "int"), cell)
-    own = F.coalesce(F.col("doc_id"), F.lit(-(2**63)))
-    return of_range, own == F.get(_array(first, "bigint"), of_range), F.pmod(of_range - 1, F.lit(len(first)))
+    firsts = [_array([row["first"][c] for row in first], "bigint") for c in ("own", "tie")]
+    is_first = (own == F.get(firsts[0], of_range)) & (F.shiftrightunsigned("tie", 1) == F.get(firsts[1], of_range))
+    return of_range, is_first, F.pmod(of_range - 1, F.lit(len(first)))
 
 
 def _array(values: list[int], kind: str) -> Column:
@@ -94,15 +106,16 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint,
     near_edited and near_next of each document."""
     spark = docs.sparkSession
-    texts = texts_of(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
-    cut = ranges(texts.select("doc_id"), RANGES * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    texts = texts_of(docs, id_col, text_col).withColumns({"doc_id": F.col("doc_id").cast("long"), "tie": F.xxhash64("text")})
+    cut = ranges(texts.select("doc_id", "tie"), min(MOST_RANGES, RANGES * int(spark.conf.get("spark.sql.shuffle.partitions"))))
     if cut is None:
         return spark.createDataFrame([], "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
     of_range, is_first, before = cut
     own = F.struct(of_range.alias("range"), F.lit(False).alias("guest"))
     guest = F.struct(before.alias("range"), F.lit(True).alias("guest"))
-    dealt = texts.select("doc_id", "text", F.explode(F.when(is_first, F.array(own, guest)).otherwise(F.array(own))).alias("at")).select("doc_id", "text", "at.*")
-    order = Window.partitionBy("range").orderBy("guest", F.asc_nulls_first("doc_id"), "text")
+    dealt = texts.select("doc_id", "text", "tie", F.explode(F.when(is_first, F.array(own, guest)).otherwise(F.array(own))).alias("at")).select("doc_id", "text", "tie", "at.*")
+    # ties are in the order of the hash's bits, as their ranges are
+    order = Window.partitionBy("range").orderBy("guest", F.asc_nulls_first("doc_id"), F.shiftrightunsigned("tie", 1), "text")
     n = F.char_length("text")
     half = F.floor(n / 2).cast("int")
     rows = dealt.select("range", "guest", "doc_id", "text", F.row_number().over(order).cast("long").alias("row"), F.lead("text").over(order).alias("next"))
