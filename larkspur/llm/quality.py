@@ -6,18 +6,19 @@ text. The log-ratio of a document's likelihoods is its log importance weight.
 Adding Gumbel noise, which the document's content seeds, and keeping the k
 highest draws k documents without replacement by these weights.
 
-k follows from the labels: the cut of the noisy weights that best separates
-the sample's good from its bad documents (Youden's index) is carried over to
-the corpus, and k is the number of all documents at or above it, so that the
-top-k needs no global sort. With `keep` given, k is that share of the documents
-and the cut comes from a histogram of the noisy weights.
+k is fixed before any noise is drawn: it is the number of documents whose
+log-ratio reaches the cut that best separates the sample's good from its bad
+documents (Youden's index on the labelled rows that set no model), or the share
+`keep` of all. Then exactly k rows are kept: a bracket around the k-th key is
+narrowed by histograms of CELLS counts, so no task sorts or holds all keys.
 
 Counts are summed over every whole document; the tables have 2**BITS numbers.
 
 Defined results: a null or empty text has log-ratio 0; a null id gets its row;
-repeated rows share their noise, hence their decision; without a labelled
-document of both classes every document is kept; an empty table gives an empty
-result; other columns are not read.
+repeated rows and copies share their noise, and where the k-th key falls among
+them the hash of the id decides, then an arbitrary one of rows alike; without
+a labelled document of both classes every document is kept; an empty table
+gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -34,9 +35,11 @@ from pyspark.sql import functions as F
 
 from .hashing import hash_words, pairs
 from .labelled import sample
-from .shared import map_arrow, texts_of
+from .shared import Scratch, map_arrow, texts_of
 
 BITS = 16
+#: Counts of a histogram in the search for the k-th key.
+CELLS = 4096
 #: Labelled documents of each class that are learned from: the documented bound.
 PER_CLASS = 8000
 TOKEN = re.compile(r"\w+|[^\w\s]+")
@@ -75,7 +78,7 @@ def corpus_counts(texts: DataFrame) -> np.ndarray:
 
 
 class Model:
-    """Log-ratio of each bucket and the cut of the noisy weights."""
+    """Log-ratio of each bucket and the cut of the log-ratios that fixes k."""
 
     def __init__(self, ratio: np.ndarray, cut: float, seed: int):
         self.ratio, self.cut, self.seed = ratio, cut, seed
@@ -102,16 +105,16 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, seed:
     sent = spark.sparkContext.broadcast(model)
 
     def weigh(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([batch.column("label"), pa.array(sent.value.weigh(batch.column("text").to_pylist())[1], pa.float64())], ["label", "key"])
+        return pa.RecordBatch.from_arrays([batch.column("label"), pa.array(sent.value.weigh(batch.column("text").to_pylist())[0], pa.float64())], ["label", "log_ratio"])
 
-    held = map_arrow(rows.where(~fit_half), weigh, "label int, key double").toArrow()
-    model.cut = best_cut(held.column("key").to_numpy(), held.column("label").to_numpy())
+    held = map_arrow(rows.where(~fit_half), weigh, "label int, log_ratio double").toArrow()
+    model.cut = best_cut(held.column("log_ratio").to_numpy(), held.column("label").to_numpy())
     return model
 
 
 def best_cut(keys: np.ndarray, good: np.ndarray) -> float:
     """The lowest cut whose gain (share of good kept less share of bad kept) is
-    within a hundredth of the greatest; midway between the neighbouring keys."""
+    within a hundredth of the greatest; midway between the neighbouring ratios."""
     if not (good == 1).any() or not (good == 0).any():
         return -np.inf
     order = np.argsort(keys, kind="stable")
@@ -135,19 +138,55 @@ def weights_column(spark: SparkSession, model: Model, text: Column) -> Column:
     return weigh(F.coalesce(text, F.lit("")))
 
 
-def resample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, seed: int = 8, keep: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, log_ratio, noisy key and kept of each document."""
+def kth(rows: DataFrame, column: str, k: int) -> tuple[float | int, int]:
+    """The k-th greatest value of a numeric column without nulls, and how many
+    rows lie above it. 1 <= k <= rows."""
+    x, above = F.col(column), 0
+    low, high = rows.agg(F.min(x), F.max(x)).first()
+    while low < high:
+        cell = F.least(F.floor((x - low) * (CELLS / (high - low))).cast("int"), F.lit(CELLS - 1))
+        found = rows.where((x >= low) & (x <= high)).groupBy(cell.alias("cell")).agg(F.count(F.lit(1)).alias("n"), F.min(x).alias("low"), F.max(x).alias("high"))
+        for cell, n, low, high in sorted(found.collect(), reverse=True):
+            if above + n >= k:
+                break
+            above += n
+    return low, above
+
+
+def top_k(rows: DataFrame, k: int, columns: list[str]) -> Column:
+    """Whether a row is among the k greatest by the columns, of which the last
+    is different in each row."""
+    if k <= 0:
+        return F.lit(False)
+    if k >= rows.count():
+        return F.lit(True)
+    value, above = kth(rows, columns[0], k)
+    x = F.col(columns[0])
+    if len(columns) == 1:
+        return x >= F.lit(value)
+    return (x > F.lit(value)) | ((x == F.lit(value)) & top_k(rows.where(x == F.lit(value)), k - above, columns[1:]))
+
+
+def _drawn(docs: DataFrame, labels: DataFrame, per_class: int, seed: int, keep: float | None, id_col: str, text_col: str, names: list[str]) -> DataFrame:
+    """The named columns of docs with _log_ratio, _key and _kept."""
     texts = texts_of(docs, id_col, text_col)
     model = train(texts, labels, per_class, seed)
-    weighed = texts.withColumn("w", weights_column(docs.sparkSession, model, F.col("text"))).select("doc_id", "w.log_ratio", "w.key")
-    cut = model.cut if keep is None else weighed.select(F.percentile_approx("key", 1 - keep, 100_000)).first()[0]
-    return weighed.withColumn("kept", F.col("key") >= F.lit(cut if cut is not None else -np.inf))
+    made = docs.select(*names, weights_column(docs.sparkSession, model, F.col(text_col)).alias("_w"), F.shiftrightunsigned(F.xxhash64(F.col(id_col), F.lit(seed)), 2).alias("_tie"), F.monotonically_increasing_id().alias("_row"))
+    # written: keys are made once, and rows keep their numbers
+    made = Scratch(docs.sparkSession, "quality").save(made.select(*names, F.col("_w.log_ratio").alias("_log_ratio"), F.col("_w.key").alias("_key"), "_tie", "_row"), "weighed")
+    k = made.where(F.col("_log_ratio") >= F.lit(model.cut)).count() if keep is None else round(keep * made.count())
+    return made.withColumn("_kept", top_k(made.select("_key", "_tie", "_row"), k, ["_key", "_tie", "_row"]))
+
+
+def resample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, seed: int = 8, keep: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, log_ratio, noisy key and kept of each document."""
+    made = _drawn(docs, labels, per_class, seed, keep, id_col, text_col, [id_col])
+    return made.select(F.col(id_col).alias("doc_id"), F.col("_log_ratio").alias("log_ratio"), F.col("_key").alias("key"), F.col("_kept").alias("kept"))
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, seed: int = 8) -> DataFrame:
-    """The documents, all columns, that the resampling keeps."""
-    model = train(texts_of(docs), labels, per_class, seed)
-    return docs.where(weights_column(docs.sparkSession, model, docs["text"])["key"] >= F.lit(model.cut))
+    """The documents, all columns, that the resampling keeps (see resample)."""
+    return _drawn(docs, labels, per_class, seed, None, "doc_id", "text", docs.columns).where("_kept").select(*docs.columns)
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
