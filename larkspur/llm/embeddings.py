@@ -11,6 +11,8 @@ left is decided by the cosine of the given vectors in double precision.
 The sample on which components and cuts are fitted (SAMPLE numbers at most) and
 the tiles change the work, never the result: the search is exact. A task
 holds two tiles; it returns counts of links and a spanning forest, not pairs.
+Every vector is sent once for each tile that its own has to meet: where boxes
+can't part tiles (vectors that spread alike in all directions), that is all.
 
 Defined results: vectors that are null or empty, hold a null or a value that
 isn't finite, or have norm zero link with nothing; vectors of different lengths
@@ -32,8 +34,8 @@ from .shared import Scratch, map_arrow
 
 #: Numbers in the sample that components and cuts are fitted on.
 SAMPLE = 1_500_000
-#: Vectors of a tile, tiles at most, rows of a block within a task, leading components of a box.
-TILE, MAX_TILES, BLOCK, BOX = 4096, 4096, 512, 12
+#: Numbers and vectors of a tile at most, tiles at most, rows of a block within a task, leading components of a box.
+TILE_NUMBERS, TILE, MAX_TILES, BLOCK, BOX = 1 << 19, 8192, 1 << 18, 512, 12
 #: Rounding of products of unit vectors, far above what double precision gives.
 SLACK = 1e-9
 
@@ -149,8 +151,10 @@ def _compared(classes: DataFrame, d: int, total: int, threshold: float, scratch:
     """c, links and to, a class linked with it, from all pairs of tiles of the
     classes, which all are d long."""
     picked = classes.orderBy(F.xxhash64("k1", "k2"), "k1").limit(max(d, SAMPLE // d)).select("v").toArrow()
-    cuts = Cuts(_matrix(picked.column("v")), min(MAX_TILES, -(-total // TILE)))
+    most = max(16, min(TILE, TILE_NUMBERS // d), -(-total // MAX_TILES))
+    cuts = Cuts(_matrix(picked.column("v")), -(-total // most))
     sent = classes.sparkSession.sparkContext.broadcast(cuts)
+    width = min(BOX, d)
 
     def deal(batch: pa.RecordBatch) -> pa.RecordBatch:
         r = sent.value.rotate(_matrix(batch.column("v")))
@@ -158,18 +162,28 @@ def _compared(classes: DataFrame, d: int, total: int, threshold: float, scratch:
         return pa.RecordBatch.from_arrays([batch.column("c"), batch.column("n"), batch.column("v"), pa.array(sent.value.tile(r), pa.int64()), pa.array(list(lead), pa.list_(pa.float64()))], ["c", "n", "v", "tile", "lead"])
 
     tiled = scratch.save(map_arrow(classes.select("c", "n", "v"), deal, "c long, n long, v array<double>, tile long, lead array<double>", 8192), f"tiles-{d}")
-    width = min(BOX, d)
-    box = tiled.groupBy("tile").agg(*(f(F.get("lead", F.lit(k))).alias(f"{name}{k}") for k in range(width) for name, f in (("lo", F.min), ("hi", F.max)))).orderBy("tile").toPandas()
-    low, high = (box[[f"{s}{k}" for k in range(width)]].to_numpy() for s in ("lo", "hi"))
-    number = box["tile"].to_numpy()
-    # at most MAX_TILES squared pairs of boxes, row by row
-    near: dict[int, list[int]] = {int(t): [] for t in number}
-    for i, t in enumerate(number.tolist()):
-        gap = np.maximum(0, np.maximum(low[i] - high, low - high[i]))
-        for j in np.flatnonzero((gap**2).sum(axis=1) <= 2 - 2 * threshold + 1e-6).tolist():
-            near[t].append(int(number[j]))
-    pairs = classes.sparkSession.createDataFrame([(t, min(t, o), max(t, o)) for t, others in near.items() for o in others], "tile long, a long, b long")
-    work = tiled.drop("lead").join(F.broadcast(pairs), "tile")
+    sides = [f(F.get("lead", F.lit(k))) for k in range(width) for f in (F.min, F.max)]
+    # tiles that the sample made too large are dealt into parts of the same box; a row for each of at most about MAX_TILES tiles
+    box = tiled.groupBy("tile").agg(F.array(*sides).alias("box"), F.ceil(F.count(F.lit(1)) / (1.25 * most)).cast("long").alias("parts"))
+    box = scratch.save(box, f"boxes-{d}")
+    parts = box.select("tile", "parts", "box", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    parts = scratch.save(parts.select((F.col("tile") * MAX_TILES + F.col("part")).alias("tile"), "box"), f"parts-{d}")
+    every = parts.orderBy("tile").toArrow()
+    boxes = classes.sparkSession.sparkContext.broadcast((every.column("tile").to_numpy(), _matrix(every.column("box"))))
+
+    def meet(batch: pa.RecordBatch) -> pa.RecordBatch:
+        tiles, sides = boxes.value
+        low, high = sides[:, ::2], sides[:, 1::2]
+        own, out = _matrix(batch.column("box")), []
+        for t, lo, hi in zip(batch.column("tile").to_pylist(), own[:, ::2], own[:, 1::2], strict=True):
+            gap = np.maximum(0, np.maximum(lo - high, low - hi))
+            near = tiles[(gap**2).sum(axis=1) <= 2 - 2 * threshold + 1e-6]
+            out.append(np.stack([np.full(len(near), t), np.minimum(near, t), np.maximum(near, t)]))
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in np.concatenate(out, axis=1)], ["tile", "a", "b"])
+
+    pairs = scratch.save(map_arrow(parts, meet, "tile long, a long, b long", 64), f"pairs-{d}")
+    fine = tiled.join(box.select("tile", "parts"), "tile").select("c", "n", "v", (F.col("tile") * MAX_TILES + F.pmod(F.xxhash64("c"), "parts")).alias("tile"))
+    work = fine.join(pairs, "tile")
 
     def compare(table: pa.Table) -> pa.Table:
         c, n, tile = (table.column(k).to_numpy() for k in ("c", "n", "tile"))
