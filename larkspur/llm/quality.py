@@ -155,38 +155,44 @@ def kth(rows: DataFrame, column: str, k: int) -> tuple[float | int, int]:
 
 def top_k(rows: DataFrame, k: int, columns: list[str]) -> Column:
     """Whether a row is among the k greatest by the columns, of which the last
-    is different in each row."""
+    is different in each row. A column that settles it is the last one used."""
+    total = rows.count()
     if k <= 0:
         return F.lit(False)
-    if k >= rows.count():
+    if k >= total:
         return F.lit(True)
     value, above = kth(rows, columns[0], k)
-    x = F.col(columns[0])
+    x, same = F.col(columns[0]), rows.where(F.col(columns[0]) == F.lit(value))
     if len(columns) == 1:
         return x >= F.lit(value)
-    return (x > F.lit(value)) | ((x == F.lit(value)) & top_k(rows.where(x == F.lit(value)), k - above, columns[1:]))
+    return (x > F.lit(value)) | ((x == F.lit(value)) & top_k(same, k - above, columns[1:]))
 
 
-def _drawn(docs: DataFrame, labels: DataFrame, per_class: int, seed: int, keep: float | None, id_col: str, text_col: str, names: list[str]) -> DataFrame:
-    """The named columns of docs with _log_ratio, _key and _kept."""
-    texts = texts_of(docs, id_col, text_col)
-    model = train(texts, labels, per_class, seed)
-    made = docs.select(*names, weights_column(docs.sparkSession, model, F.col(text_col)).alias("_w"), F.shiftrightunsigned(F.xxhash64(F.col(id_col), F.lit(seed)), 2).alias("_tie"), F.monotonically_increasing_id().alias("_row"))
-    # written: keys are made once, and rows keep their numbers
-    made = Scratch(docs.sparkSession, "quality").save(made.select(*names, F.col("_w.log_ratio").alias("_log_ratio"), F.col("_w.key").alias("_key"), "_tie", "_row"), "weighed")
-    k = made.where(F.col("_log_ratio") >= F.lit(model.cut)).count() if keep is None else round(keep * made.count())
-    return made.withColumn("_kept", top_k(made.select("_key", "_tie", "_row"), k, ["_key", "_tie", "_row"]))
+def _draw(docs: DataFrame, labels: DataFrame, per_class: int, seed: int, keep: float | None, id_col: str, text_col: str) -> tuple[DataFrame, Column, list[Column]]:
+    """Id, log-ratio, key, tie and row of each document, whether it is drawn,
+    and the expressions that make the last three from docs."""
+    model = train(texts_of(docs, id_col, text_col), labels, per_class, seed)
+    w = weights_column(docs.sparkSession, model, F.col(text_col))
+    tie, row = F.shiftrightunsigned(F.xxhash64(F.col(id_col), F.lit(seed)), 2), F.monotonically_increasing_id()
+    made = docs.select(F.col(id_col).alias("doc_id"), w.alias("w"), tie.alias("_tie"), row.alias("_row"))
+    # numbers only, read several times
+    made = Scratch(docs.sparkSession, "quality").save(made.select("doc_id", "w.log_ratio", F.col("w.key").alias("_key"), "_tie", "_row"), "weighed")
+    k = made.where(F.col("log_ratio") >= F.lit(model.cut)).count() if keep is None else round(keep * made.count())
+    return made, top_k(made, k, ["_key", "_tie", "_row"]), [w["key"].alias("_key"), tie.alias("_tie"), row.alias("_row")]
 
 
 def resample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, seed: int = 8, keep: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, log_ratio, noisy key and kept of each document."""
-    made = _drawn(docs, labels, per_class, seed, keep, id_col, text_col, [id_col])
-    return made.select(F.col(id_col).alias("doc_id"), F.col("_log_ratio").alias("log_ratio"), F.col("_key").alias("key"), F.col("_kept").alias("kept"))
+    made, drawn, _ = _draw(docs, labels, per_class, seed, keep, id_col, text_col)
+    return made.select("doc_id", "log_ratio", F.col("_key").alias("key"), drawn.alias("kept"))
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, seed: int = 8) -> DataFrame:
-    """The documents, all columns, that the resampling keeps (see resample)."""
-    return _drawn(docs, labels, per_class, seed, None, "doc_id", "text", docs.columns).where("_kept").select(*docs.columns)
+    """The documents, all columns, that the resampling keeps (see resample).
+    Keys are made again where the documents are, which costs less than a copy of
+    all texts on disk would."""
+    _, drawn, made = _draw(docs, labels, per_class, seed, None, "doc_id", "text")
+    return docs.select(*docs.columns, *made).where(drawn).select(*docs.columns)
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
