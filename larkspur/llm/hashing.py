@@ -9,8 +9,8 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
-#: Words a worker remembers, about 40 MB.
-CACHE = 300_000
+#: Words a worker remembers in a table, about 25 MB. Workers live on from operator to operator with their tables.
+CACHE = 150_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 

@@ -43,8 +43,8 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .embeddings import Forest
-from .hashing import WordHashes, mix, shingles
-from .shared import Scratch, map_arrow, maybe_in, texts_of
+from .hashing import CACHE, WordHashes, mix, shingles
+from .shared import Scratch, map_arrow, maybe_in, split_in, texts_of
 
 #: Length of a signature, first and last depth at which nodes are looked at.
 WIDTH, FIRST, DEPTH = 64, 4, 8
@@ -62,7 +62,7 @@ _words = WordHashes()
 
 class _ByteHashes(WordHashes):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 300_000:
+        if len(self) > CACHE:
             self.clear()
         h = self[word] = xxhash.xxh64_intdigest(word)
         return h
@@ -293,7 +293,7 @@ def _forests(rows: DataFrame, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, ([], [], [], [])
-        for batch in batches:
+        for batch in (b.slice(at, 512) for b in batches for at in range(0, b.num_rows, 512)):
             columns = [batch.column(k).to_pylist() for k in ("component", "p", "q", "side", "c", "set", "known")]
             found = []
             for comp, p, q, *row in zip(*columns, strict=True):
@@ -400,9 +400,14 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, rec
     chosen = F.col("doc_id").eqNullSafe(F.col("one.doc_id")) & (F.col("h") == F.col("one.h"))
     # what goes (0), and what is there several times over (how often); all else stays as it is
     fate = rows.join(one, "component").select(F.col("doc_id").alias("_id"), F.col("h").alias("_of"), F.when(chosen, F.col("n")).otherwise(0).alias("_n"))
-    fate = scratch.save(fate.where("_n <> 1"), "fate")
-    found = docs.withColumn("_h", F.xxhash64(F.coalesce("text", F.lit("")))).join(fate, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_of")), "left")
+    fate = scratch.save(fate.where("_n <> 1").withColumn("_k", F.xxhash64("_id", "_of")), "fate")
+    scratch.keep("fate")
+    h = F.xxhash64(F.coalesce("text", F.lit("")))
+    some, others = split_in(docs, F.xxhash64("doc_id", h), fate.select("_k"))
+    found = some.withColumn("_h", h).join(fate, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_of")), "left")
     out = found.where("_n is null").select(*docs.columns)
+    if others is not None:
+        out = others.unionByName(out)
     if fate.where("_n > 1").isEmpty():
         return out
     return out.unionByName(found.where("_n > 1").dropDuplicates(["doc_id", "_h"]).select(*docs.columns))

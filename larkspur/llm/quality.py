@@ -27,7 +27,6 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -130,10 +129,10 @@ def weights_column(spark: SparkSession, model: Model, text: Column) -> Column:
     """struct(log_ratio, key) of a text column; the model has 2**BITS numbers."""
     sent = spark.sparkContext.broadcast(model)
 
-    @F.pandas_udf("log_ratio double, key double")
-    def weigh(texts: pd.Series) -> pd.DataFrame:
-        ratio, key = sent.value.weigh(texts.tolist())
-        return pd.DataFrame({"log_ratio": ratio, "key": key}, dtype="float64")
+    @F.arrow_udf("log_ratio double, key double")
+    def weigh(texts: pa.Array) -> pa.Array:
+        made = [sent.value.weigh(texts.slice(at, 256).to_pylist()) for at in range(0, len(texts), 256)]
+        return pa.StructArray.from_arrays([pa.array([x for m in made for x in m[k]], pa.float64()) for k in (0, 1)], ["log_ratio", "key"])
 
     return weigh(F.coalesce(text, F.lit("")))
 

@@ -69,25 +69,30 @@ FILTER_BITS, BITS_A_KEY = 1 << 28, 16
 _BITMAP = 1 << 15  # bits of one of Spark's bitmaps
 
 
-def maybe_in(rows: DataFrame, key: Column, keys: DataFrame, most: int = FILTER_BITS) -> DataFrame:
-    """The rows whose 64-bit key is in `keys` (one column), and about one in
-    BITS_A_KEY of the others, by a bitmap that is broadcast: what a join that
-    follows needn't shuffle. All rows if the bitmap would have over `most` bits."""
+def split_in(rows: DataFrame, key: Column, keys: DataFrame, most: int = FILTER_BITS) -> tuple[DataFrame, DataFrame | None]:
+    """The rows whose 64-bit key is in `keys` (one column) with about one in
+    BITS_A_KEY of the others, and all other rows, by a bitmap that is broadcast:
+    these needn't take part in a join with the keys. (rows, None) if the bitmap
+    would have over `most` bits."""
     bits = _BITMAP
     n = keys.count()
     while bits < BITS_A_KEY * n:
         bits *= 2
     if bits > most:
-        return rows
+        return rows, None
     at = lambda c: F.pmod(c, F.lit(bits))
     spot = at(F.col(keys.columns[0]))
     maps = keys.groupBy(F.shiftright(spot, 15).alias("_chunk")).agg(F.bitmap_construct_agg(spot.bitwiseAND(F.lit(_BITMAP - 1))).alias("_map"))
-    tried = rows.withColumn("_at", at(key))
-    tried = tried.join(F.broadcast(maps), F.shiftright("_at", 15) == F.col("_chunk"))
+    tried = rows.withColumn("_at", at(key)).join(F.broadcast(maps), F.shiftright("_at", 15) == F.col("_chunk"), "left")
     low = F.col("_at").bitwiseAND(F.lit(_BITMAP - 1)).cast("int")
     byte = F.conv(F.hex(F.substring("_map", F.shiftright(low, 3) + 1, F.lit(1))), 16, 10).cast("int")
-    hit = F.pmod(F.floor(byte / F.pow(F.lit(2), low.bitwiseAND(F.lit(7)))), F.lit(2)) == 1
-    return tried.where(hit).select(*rows.columns)
+    hit = F.coalesce(F.pmod(F.floor(byte / F.pow(F.lit(2), low.bitwiseAND(F.lit(7)))), F.lit(2)) == 1, F.lit(False))
+    return tried.where(hit).select(*rows.columns), tried.where(~hit).select(*rows.columns)
+
+
+def maybe_in(rows: DataFrame, key: Column, keys: DataFrame, most: int = FILTER_BITS) -> DataFrame:
+    """The first part of split_in: what a join that follows has to shuffle."""
+    return split_in(rows, key, keys, most)[0]
 
 
 def nullable(schema: StructType) -> StructType:

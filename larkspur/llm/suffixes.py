@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .hashing import mix
-from .shared import Scratch, map_arrow, maybe_in, texts_of
+from .shared import Scratch, map_arrow, maybe_in, split_in, texts_of
 
 
 class Unit(NamedTuple):
@@ -379,8 +379,14 @@ def _with_spans(texts: DataFrame, units: tuple[Unit, ...]) -> DataFrame:
         scratch.keep("spans")
         every = every.unionByName(spans) if every else spans
     of_unit = (F.first(F.when(F.col("unit") == k, F.col("spans")), ignorenulls=True).alias(f"spans{k}") for k in range(len(units)))
-    every = every.groupBy(F.col("doc_id").alias("id2"), F.col("h").alias("h2")).agg(*of_unit)
-    return texts.join(every, F.col("doc_id").eqNullSafe(F.col("id2")) & (F.col("h") == F.col("h2")), "left").drop("id2", "h2", "h")
+    every = every.groupBy(F.col("doc_id").alias("id2"), F.col("h").alias("h2")).agg(*of_unit).withColumn("k", F.xxhash64("id2", "h2"))
+    every = Scratch(texts.sparkSession, "suffixes").save(every, "of-texts")
+    some, others = split_in(texts, F.xxhash64("doc_id", "h"), every.select("k"))
+    joined = some.join(every.drop("k"), F.col("doc_id").eqNullSafe(F.col("id2")) & (F.col("h") == F.col("h2")), "left").drop("id2", "h2", "h")
+    if others is None:
+        return joined
+    none = F.lit(None).cast("array<bigint>")
+    return others.drop("h").withColumns({f"spans{k}": none for k in range(len(units))}).unionByName(joined)
 
 
 def _kept(text: str, *spans: tuple[Unit, list[int] | None]) -> tuple[bytes, list[tuple[int, int]]]:

@@ -21,7 +21,6 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -98,28 +97,28 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, held_o
         at = [features(t).astype(np.int32).tobytes() for t in batch.column("text").to_pylist()]
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(at, pa.binary())], ["doc_id", "label", "at"])
 
-    def learn(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        got = [(np.frombuffer(a, np.int32).astype(np.int64), y) for f in frames for a, y in zip(f["at"], f["label"], strict=True)]
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [(np.frombuffer(a, np.int32).astype(np.int64), y) for b in batches for a, y in zip(b.column("at").to_pylist(), b.column("label").to_pylist(), strict=True)]
         if len({y for _, y in got}) == 2:
             at, w, bias = fit(got)
-            yield pd.DataFrame({"at": np.r_[-1, at], "w": np.r_[bias, w]})
+            yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, at], pa.int64()), pa.array(np.r_[bias, w], pa.float64())], ["at", "w"])
 
     small = map_arrow(rows, featurize, "doc_id long, label int, at binary")
     order = (F.xxhash64(F.col("doc_id") + 1), F.col("doc_id"))
-    found = small.repartition(1).sortWithinPartitions(*order).mapInPandas(learn, "at long, w double").toPandas()
-    if not len(found):
+    found = small.repartition(1).sortWithinPartitions(*order).mapInArrow(learn, "at long, w double").toArrow()
+    if not found.num_rows:
         return Model(np.zeros(0, np.int64), np.zeros(0), 0.0, blind=True)
-    own = found["at"] >= 0
-    return Model(found["at"][own].to_numpy(), found["w"][own].to_numpy(), float(found["w"][~own].iloc[0]))
+    at, w = (found.column(c).to_numpy() for c in ("at", "w"))
+    return Model(at[at >= 0], w[at >= 0], float(w[at < 0][0]))
 
 
 def score_column(spark: SparkSession, model: Model, text: Column) -> Column:
     """The score of a text column; a model has at most 2**BITS weights."""
     sent = spark.sparkContext.broadcast(model)
 
-    @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        return texts.map(sent.value.score).astype("float64")
+    @F.arrow_udf("double")
+    def score(texts: pa.Array) -> pa.Array:
+        return pa.array([sent.value.score(t) for at in range(0, len(texts), 256) for t in texts.slice(at, 256).to_pylist()], pa.float64())
 
     return score(F.coalesce(text, F.lit("")))
 

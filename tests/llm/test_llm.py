@@ -309,6 +309,8 @@ def test_maybe_in_keeps_all_of_the_keys(spark):
     assert {k for k in range(20_000) if k % 10 == 3} <= set(got) and len(got) == len(set(got)) < 5000
     assert shared.maybe_in(rows, F.col("k"), keys, most=10).count() == 20_000
     assert shared.maybe_in(rows, F.col("k"), keys.where("false")).count() == 0
+    some, others = shared.split_in(rows, F.col("k"), keys)
+    assert sorted(got + [r.id for r in others.collect()]) == list(range(20_000)) and others.where("id % 10 = 3").isEmpty()
 
 
 def test_members_of_large_groups_are_linked_across_blocks(spark, tmp_path, monkeypatch):
