@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 from .components import components
 from .embeddings import Forest
 from .hashing import CACHE, WordHashes, mix, shingles
-from .shared import Scratch, map_arrow, maybe_in, split_in, texts_of
+from .shared import Scratch, map_arrow, maybe_in, split_in, texts_of, tidy
 
 #: Length of a signature, first and last depth at which nodes are looked at.
 WIDTH, FIRST, DEPTH = 64, 4, 8
@@ -213,6 +213,7 @@ def compare_leaves(rows: DataFrame, least: float) -> DataFrame:
                 kept = tuple(x[~whole] for x in now)
         if kept:
             yield forest(*kept)
+        tidy()
 
     return rows.repartition("leaf").sortWithinPartitions("leaf").mapInArrow(run, "a long, b long")
 
@@ -306,6 +307,7 @@ def _forests(rows: DataFrame, percent: int) -> DataFrame:
             yield edges_of(found)
         if key:
             yield edges_of(forest(*held))
+        tidy()
 
     return rows.repartition("component", "p", "q").sortWithinPartitions("component", "p", "q").select("component", "p", "q", "side", "c", "set", "known").mapInArrow(run, "a long, b long")
 

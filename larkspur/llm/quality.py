@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .hashing import hash_words, pairs
 from .labelled import sample
-from .shared import Scratch, map_arrow, texts_of
+from .shared import Scratch, map_arrow, texts_of, tidy
 
 BITS = 16
 #: Counts of a histogram in the search for the k-th key.
@@ -66,6 +66,7 @@ def corpus_counts(texts: DataFrame) -> np.ndarray:
             for at in range(0, batch.num_rows, 128):
                 texts = batch.column("text").slice(at, 128).to_pylist()
                 total += np.bincount(np.concatenate([grams(t) for t in texts]), minlength=1 << BITS)
+        tidy()
         at = np.flatnonzero(total)
         if len(at):
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], ["bucket", "n"])
@@ -132,6 +133,7 @@ def weights_column(spark: SparkSession, model: Model, text: Column) -> Column:
     @F.arrow_udf("log_ratio double, key double")
     def weigh(texts: pa.Array) -> pa.Array:
         made = [sent.value.weigh(texts.slice(at, 256).to_pylist()) for at in range(0, len(texts), 256)]
+        tidy()
         return pa.StructArray.from_arrays([pa.array([x for m in made for x in m[k]], pa.float64()) for k in (0, 1)], ["log_ratio", "key"])
 
     return weigh(F.coalesce(text, F.lit("")))

@@ -7,6 +7,7 @@ executor costs at most the tasks it was running.
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
@@ -108,6 +109,15 @@ def texts_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
+def tidy() -> None:
+    """Gives memory that this worker holds but doesn't use back to the machine;
+    workers live on, and several share an executor."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, rows: int = 512) -> DataFrame:
     """mapInArrow that hands fn slices of at most `rows` rows, so that the
     Python side's memory doesn't depend on the batch size of the session."""
@@ -118,6 +128,7 @@ def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | Non
                 out = fn(batch.slice(at, rows))
                 if out is not None and out.num_rows:
                     yield out
+        tidy()
 
     return df.mapInArrow(run, schema)
 

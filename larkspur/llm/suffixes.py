@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .hashing import mix
-from .shared import Scratch, map_arrow, maybe_in, split_in, texts_of
+from .shared import Scratch, map_arrow, maybe_in, split_in, texts_of, tidy
 
 
 class Unit(NamedTuple):
@@ -291,6 +291,7 @@ def _sorted_buckets(batches: Iterator[pa.RecordBatch], unit: Unit) -> Iterator[p
             size = table.num_rows - cut
     if held:
         yield _compare(pa.Table.from_batches(held), unit)
+    tidy()
 
 
 def repeats(texts: DataFrame, scratch: Scratch, unit: Unit = BYTES) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .hashing import hash_words, pairs
 from .labelled import sample
-from .shared import map_arrow, texts_of
+from .shared import map_arrow, texts_of, tidy
 
 BITS = 20
 #: Labelled documents learned from, of each class: the documented bound.
@@ -118,7 +118,9 @@ def score_column(spark: SparkSession, model: Model, text: Column) -> Column:
 
     @F.arrow_udf("double")
     def score(texts: pa.Array) -> pa.Array:
-        return pa.array([sent.value.score(t) for at in range(0, len(texts), 256) for t in texts.slice(at, 256).to_pylist()], pa.float64())
+        made = [sent.value.score(t) for at in range(0, len(texts), 256) for t in texts.slice(at, 256).to_pylist()]
+        tidy()
+        return pa.array(made, pa.float64())
 
     return score(F.coalesce(text, F.lit("")))
 
