@@ -180,11 +180,14 @@ def is_sorted(df: DataFrame, column: str, order: str, strict: bool = False, chun
     return joined.agg((~F.coalesce(F.bool_or(F.col("bad") | F.col("step")), F.lit(False))).alias("is_sorted"))
 
 
-def list_aggregate(x: Column, name: str) -> Column:
-    """sum, count, min or max of each row's list, nulls left out."""
+def list_aggregate(x: Column, name: str, whole: bool = False) -> Column:
+    """sum, count, min or max of each row's list, nulls left out. whole: the sum
+    is one of whole numbers, and null on overflow."""
     held = F.filter(x, lambda v: v.isNotNull())
     if name == "count":
         return F.size(held)
     if name in ("min", "max"):
         return getattr(F, f"array_{name}")(held)
+    if whole:
+        return F.aggregate(held, F.lit(0).cast("long"), lambda s, v: F.try_add(s, v.cast("long")))
     return F.aggregate(held, F.lit(0.0), lambda s, v: s + v)

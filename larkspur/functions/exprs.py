@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import geo, rowkey, tensor
+from . import geo, registry, rowkey, tensor
 
 
 @dataclass(frozen=True, eq=False)
@@ -115,6 +115,21 @@ def row_idx() -> Expr:
     return Expr("row_idx")
 
 
+def row_count() -> Expr:
+    """Rows of a zone or file; binds to a table of statistics."""
+    return Expr("row_count")
+
+
+def stat(name: str, which: str) -> Expr:
+    """A statistic (min, max, nulls, nans) of a column in a zone or file; binds to a table of statistics."""
+    return Expr("stat", (), {"name": name, "which": which})
+
+
+def call(name: str, *args: Any) -> Expr:
+    """A function that registry.register_scalar has made known."""
+    return Expr("call", tuple(map(_expr, args)), {"name": name})
+
+
 def binary(op: str, left: Any, right: Any) -> Expr:
     return Expr(op, (_expr(left), _expr(right)))
 
@@ -372,6 +387,19 @@ class _Binder:
     def _col(self, e):
         return F.col(e.opts["name"])
 
+    def _row_count(self, e):
+        return F.col("row_count")
+
+    def _stat(self, e):
+        return F.col(f"{e.opts['name']}__{e.opts['which']}")
+
+    def _call(self, e):
+        made = registry.scalar(e.opts["name"])
+        args = [self.column(a) for a in e.args]
+        if made.accepts is not None:
+            made.accepts([self._type(a) for a in args])
+        return made.build(*args)
+
     def _row_idx(self, e):
         return F.col("_metadata.row_index")
 
@@ -494,7 +522,8 @@ class _Binder:
             held = [v for v in e.args[0].opts["value"] if v is not None] if e.args[0].opts["value"] is not None else None
             if held is None or constant_needle and e.args[1].opts["value"] is None:
                 return F.lit(None).cast("boolean")
-            return F.coalesce(needle.isin(held), F.lit(False)) if held else F.lit(False)
+            # never null, and a form that reaches the scan
+            return needle.isNotNull() & needle.isin(held) if held else F.lit(False)
         element = self._type(values).elementType
         found = F.coalesce(F.array_contains(F.filter(values, lambda v: v.isNotNull()), needle.cast(element)), F.lit(False))
         return F.when(values.isNull() | needle.isNull(), F.lit(None)).otherwise(found)

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import aggs
+from ..functions import aggs, registry
 from ..functions.exprs import COMPARE, Expr, binary
 
 ZONE_ROWS, STRING_BYTES = 8192, 64
@@ -28,7 +28,7 @@ def _stats(df: DataFrame, columns: list[str]) -> list[Column]:
         kind, x = df.schema[c].dataType, F.col(c)
         out.append(aggs.null_count(x).alias(f"{c}__nulls"))
         if isinstance(kind, T.StringType):
-            out += [aggs.bounded_min(x, STRING_BYTES).alias(f"{c}__min"), F.max(x).alias(f"{c}__max")]
+            out += [aggs.bounded_min(x, STRING_BYTES).alias(f"{c}__min"), aggs.bounded_max(x, STRING_BYTES).alias(f"{c}__max")]
         elif isinstance(kind, _ORDERED):
             out += [aggs.min_(x, kind).alias(f"{c}__min"), aggs.max_(x, kind).alias(f"{c}__max")]
         if isinstance(kind, (T.FloatType, T.DoubleType)):
@@ -47,10 +47,11 @@ def file_stats(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 class _Prover:
-    """known: the statistics' columns."""
+    """stats: the type of the statistics' table."""
 
-    def __init__(self, known: list[str]):
-        self.known = set(known)
+    def __init__(self, stats: T.StructType):
+        self.known = set(stats.names)
+        self.floats = {f.name.removesuffix("__max") for f in stats if f.name.endswith("__max") and isinstance(f.dataType, (T.FloatType, T.DoubleType))}
 
     def stat(self, e: Expr, which: str) -> Column | None:
         if e.op == "lit":
@@ -59,8 +60,11 @@ class _Prover:
         name = f"{e.opts['name']}__{which}" if e.op == "col" else None
         return F.col(name) if name in self.known else None
 
-    def no_nan(self, *sides: Expr) -> Column:
-        """NaN sorts above all numbers and is in no bound."""
+    def no_nan(self, *sides: Expr) -> Column | None:
+        """NaN sorts above all numbers and is in no bound: without a count of
+        NaN there is no proof for floats."""
+        if any(e.op == "col" and e.opts["name"] in self.floats and self.stat(e, "nans") is None for e in sides):
+            return None
         tests = [self.stat(e, "nans") for e in sides if e.op == "lit" or f"{e.opts.get('name')}__nans" in self.known]
         return reduce(lambda a, b: a & b, [t == 0 for t in tests], F.lit(True))
 
@@ -97,6 +101,8 @@ class _Prover:
             return None if value is None else self.falsify(binary(e.opts["op"], e.args[0], value))
         if e.op == "lit" and e.opts["value"] is False:
             return F.lit(True)
+        if e.op == "call" and (rule := registry.rule(e.opts["name"])):
+            return rule(e, self.stat)
         return None
 
     def _false_comparison(self, e: Expr) -> Column | None:
@@ -114,7 +120,8 @@ class _Prover:
         if e.op == "ne":
             # bounds of strings may be cut: only literals and numbers are one value if their bounds agree
             proof = (llo == lhi) & (rlo == rhi) & (llo == rlo)
-        return proof & self.no_nan(left, right)
+        no_nan = self.no_nan(left, right)
+        return None if no_nan is None else proof & no_nan
 
     def _false_like(self, e: Expr) -> Column | None:
         pattern = e.args[1].opts.get("value") if e.args[1].op == "lit" else None
@@ -170,13 +177,13 @@ def _all(proofs: list) -> Column | None:
 
 def keep(stats: DataFrame, e: Expr) -> DataFrame:
     """The zones or files that a filter may keep rows of."""
-    proof = _Prover(stats.columns).falsify(e)
+    proof = _Prover(stats.schema).falsify(e)
     return stats if proof is None else stats.where(~F.coalesce(proof, F.lit(False)))
 
 
 def all_true(stats: DataFrame, e: Expr) -> DataFrame:
     """The zones or files of which a filter keeps every row."""
-    proof = _Prover(stats.columns).satisfy(e)
+    proof = _Prover(stats.schema).satisfy(e)
     return stats.limit(0) if proof is None else stats.where(F.coalesce(proof, F.lit(False)))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field, replace
 from typing import Any
 
@@ -46,9 +47,20 @@ def numbered(spark: SparkSession, paths: list[str]) -> DataFrame:
     return marked.join(F.broadcast(table), "__f").withColumn(ROW, F.col("__o") + F.col("__i")).drop("__f", "__o", "__i")
 
 
+def listing(spark: SparkSession, paths: list[str]) -> list[str]:
+    """The files below the paths, in order and written as _metadata.file_path
+    has them, without reading them."""
+    return sorted(re.sub("^file:/+", "file:/", f) for f in spark.read.parquet(*paths).inputFiles())
+
+
 @dataclass(frozen=True)
 class ScanRequest:
-    """What to read. The limit counts rows after the filter."""
+    """What to read. The limit counts rows after the filter.
+
+    zones: the path of a zone map that was written beside the data; files of
+    which it proves that the filter keeps nothing aren't read. files: some of
+    the files by place in the order of paths, partition_range: a run of them.
+    limit_first: a limit on rows before the filter."""
 
     projection: list[str] | dict[str, Expr] | None = None
     filter: Expr | None = None
@@ -57,6 +69,9 @@ class ScanRequest:
     files: list[int] | None = None
     ordered: bool = False
     limit: int | None = None
+    zones: str | None = None
+    partition_range: tuple[int, int] | None = None
+    limit_first: int | None = None
 
     def with_(self, **changes: Any) -> ScanRequest:
         return replace(self, **changes)
@@ -69,14 +84,28 @@ class ScanRequest:
         """The request as a DataFrame. Row numbers are made only if asked for,
         so that a plain request is a plain scan with pushed filters."""
         source = list(paths)
-        if self.files is not None:
-            listed = sorted(r.f for r in spark.read.parquet(*source).select(F.col("_metadata.file_path").alias("f")).distinct().collect())
-            source = [listed[k] for k in self.files]
+        if self.files is not None or self.partition_range:
+            listed = listing(spark, source)
+            source = [listed[k] for k in self.files] if self.files is not None else listed[slice(*self.partition_range)]
+            if not source:
+                return self.with_(files=None, partition_range=None, limit=0).run(spark, *paths)
+        if self.zones and self.filter is not None and not (self.row_range or self.selection.rows is not None):
+            # row numbers count all files, so only a request without them leaves files out
+            from . import pruning
+
+            known = spark.read.parquet(self.zones)
+            gone = {r.file for r in known.select("file").distinct().join(pruning.keep(known, self.filter).select("file").distinct(), "file", "left_anti").collect()}
+            left = [f for f in listing(spark, source) if f not in gone] if gone else source
+            if not left:
+                return self.with_(zones=None, limit=0).run(spark, *paths)
+            source = left
         positional = self.row_range or self.selection.rows is not None or self.ordered
         df = numbered(spark, source) if positional else spark.read.parquet(*source)
         if self.row_range:
             df = df.where((F.col(ROW) >= self.row_range[0]) & (F.col(ROW) < self.row_range[1]))
         df = self.selection.apply(df)
+        if self.limit_first is not None:
+            df = df.limit(self.limit_first)
         if self.filter is not None:
             df = df.where(self.filter.bind(df))
         if self.ordered:
@@ -91,3 +120,32 @@ class ScanRequest:
 
     def count(self, spark: SparkSession, *paths: str) -> int:
         return self.with_(projection=[]).run(spark, *paths).count()
+
+    def splits(self, spark: SparkSession, *paths: str) -> list[ScanRequest]:
+        """A request for each file that this one would read: small, picklable,
+        and together they give the same rows. Not for requests by row number or
+        with a limit."""
+        if self.row_range or self.selection.rows is not None or self.limit is not None or self.limit_first is not None:
+            raise ValueError("a request by row number, or with a limit, isn't split")
+        every = range(len(listing(spark, list(paths))))
+        chosen = self.files if self.files is not None else list(every)[slice(*self.partition_range)] if self.partition_range else every
+        return [self.with_(files=[k], partition_range=None) for k in chosen]
+
+
+@dataclass(frozen=True)
+class RepeatedScan:
+    """A request that is run again and again over other runs of rows."""
+
+    request: ScanRequest
+    spark: SparkSession
+    paths: tuple[str, ...]
+
+    def execute(self, row_range: tuple[int, int] | None = None) -> DataFrame:
+        own = self.request.row_range
+        if own and row_range:
+            row_range = (max(own[0], row_range[0]), min(own[1], row_range[1]))
+        return self.request.with_(row_range=row_range or own).run(self.spark, *self.paths)
+
+    def scalar_at(self, row: int) -> Any:
+        """The row of this number, or None if the filter drops it."""
+        return self.execute((row, row + 1)).first()

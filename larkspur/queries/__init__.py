@@ -6,14 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import native, suites
+from . import native, shapes, suites
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return native.queries() | suites.queries()
+    return native.queries() | suites.queries() | shapes.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return native.oracle_sql() | suites.oracle_sql()
+    return native.oracle_sql() | suites.oracle_sql() | shapes.oracle_sql()

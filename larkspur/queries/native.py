@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import aggs, geo
+from ..functions import aggs, geo, registry
 from ..functions import exprs as E
 from ..operators import positional
 from ..plans import pruning
-from ..plans.scan import ROW, ScanRequest, Selection
+from ..plans.scan import ROW, RepeatedScan, ScanRequest, Selection
 from ..sources import files
 
 col, lit = E.col, E.lit
@@ -232,10 +232,12 @@ def vector_search(spark, sf_dir):
     return tensor.search(df, "e", wanted, 0.2).select("vec_id")
 
 
-@query("SELECT vec_id, round(embedding[1]::DOUBLE * 2.5, 4) AS x FROM embeddings")
+@query("SELECT vec_id, round(list_sum(list_transform(embedding, lambda v, i: v::DOUBLE * 2.5 * i)), 3) AS x FROM embeddings")
 def vector_denorm(spark, sf_dir):
     df = table(spark, sf_dir, "embeddings").withColumn("e", F.transform("embedding", lambda v: v.cast("double")))
-    return df.select("vec_id", F.round(F.get(E.l2_denorm(col("e"), 2.5).bind(df), F.lit(0)), 4).alias("x"))
+    made = E.l2_denorm(col("e"), 2.5).bind(df)
+    placed = F.transform(made, lambda v, i: v * (i + 1))  # all components, each by its place
+    return df.select("vec_id", F.round(F.aggregate(placed, F.lit(0.0), lambda a, v: a + v), 3).alias("x"))
 
 
 @query("""SELECT c_custkey, round(sqrt(power(c_acctbal / 100 - 30, 2) + power(c_nationkey - 12, 2)), 6) AS d,
@@ -293,10 +295,10 @@ def first_last(spark, sf_dir):
     return table(spark, sf_dir, "orders").groupBy("o_custkey").agg(aggs.first(x, F.col("o_orderkey")).alias("first_"), aggs.last(x, F.col("o_orderkey")).alias("last_"))
 
 
-@query("""SELECT o_orderstatus, min(o_orderpriority) = max(o_orderpriority) AS constant, bool_and(o_orderkey = o_orderkey) AS same, left(min(o_orderpriority), 3) AS low, 8 * count(*) AS size_ FROM orders GROUP BY o_orderstatus""")
+@query("""SELECT o_orderstatus, min(o_orderpriority) = max(o_orderpriority) AS constant, bool_and(o_orderkey = o_custkey) AS same, bool_and(nullif(o_orderstatus, 'O') IS NOT DISTINCT FROM nullif(o_orderstatus, 'O')) AS same_nulls, left(min(o_orderpriority), 3) AS low, 8 * count(*) AS size_ FROM orders GROUP BY o_orderstatus""")
 def agg_properties(spark, sf_dir):
     k = F.col("o_orderkey")
-    return table(spark, sf_dir, "orders").groupBy("o_orderstatus").agg(aggs.is_constant(F.col("o_orderpriority")).alias("constant"), aggs.all_non_distinct(k, k).alias("same"), aggs.bounded_min(F.col("o_orderpriority"), 3).alias("low"), aggs.uncompressed_size(k, T.LongType()).alias("size_"))
+    return table(spark, sf_dir, "orders").groupBy("o_orderstatus").agg(aggs.is_constant(F.col("o_orderpriority")).alias("constant"), aggs.all_non_distinct(k, F.col("o_custkey")).alias("same"), aggs.all_non_distinct(*[F.nullif(F.col("o_orderstatus"), F.lit("O"))] * 2).alias("same_nulls"), aggs.bounded_min(F.col("o_orderpriority"), 3).alias("low"), aggs.uncompressed_size(k, T.LongType()).alias("size_"))
 
 
 @query("SELECT left(max(o_orderpriority), 2) || chr(ascii(substring(max(o_orderpriority), 3, 1)) + 1) AS high FROM orders")
@@ -328,16 +330,50 @@ def search_sorted(spark, sf_dir):
     return positional.search_sorted(table(spark, sf_dir, "orders"), "o_orderkey", 1000)
 
 
-@query("SELECT * FROM (VALUES (0::BIGINT, 'r'), (1, 'n'), (2, 'n')) t(pos, side)")
+@query("""SELECT p.pos, p.side, coalesce(r.r_name, n.n_name) AS name FROM (VALUES (0::BIGINT, 'r', 4), (1, 'n', 20), (2, 'n', 3), (3, 'r', 0), (4, 'n', 20)) p(pos, side, idx)
+    LEFT JOIN (SELECT r_name, row_number() OVER (ORDER BY r_regionkey) - 1 AS i FROM region) r ON p.side = 'r' AND p.idx = r.i
+    LEFT JOIN (SELECT n_name, row_number() OVER (ORDER BY n_nationkey) - 1 AS i FROM nation) n ON p.side = 'n' AND p.idx = n.i""")
 def interleave_rows(spark, sf_dir):
     from ..plans.scan import numbered
 
-    a = numbered(spark, [f"{sf_dir}/region.parquet"]).select(ROW, F.lit("r").alias("side"))
-    b = numbered(spark, [f"{sf_dir}/nation.parquet"]).select(ROW, F.lit("n").alias("side"))
-    picks = spark.createDataFrame([(0, 0, 4), (1, 1, 20), (2, 1, 3)], "pos long, array_idx int, row_idx long")
+    a = numbered(spark, [f"{sf_dir}/region.parquet"]).select(ROW, F.lit("r").alias("side"), F.col("r_name").alias("name"))
+    b = numbered(spark, [f"{sf_dir}/nation.parquet"]).select(ROW, F.lit("n").alias("side"), F.col("n_name").alias("name"))
+    picks = spark.createDataFrame([(0, 0, 4), (1, 1, 20), (2, 1, 3), (3, 0, 0), (4, 1, 20)], "pos long, array_idx int, row_idx long")
     return positional.interleave([a, b], ROW, picks)
 
 
+@query("""SELECT p.pos, n.n_nationkey, n.n_name FROM (VALUES (0::BIGINT, 12), (1, 3), (2, 24), (3, 12), (4, 0)) p(pos, idx)
+    JOIN (SELECT *, row_number() OVER (ORDER BY n_nationkey) - 1 AS r FROM nation) n ON p.idx = n.r WHERE n.n_nationkey > 10""")
+def dataset_take_filtered(spark, sf_dir):
+    data = files.Dataset(spark, f"{sf_dir}/nation.parquet", filter=col("n_nationkey") > 10)
+    return data.taken([12, 3, 24, 12, 0]).select("pos", "n_nationkey", "n_name")
+
+
+@query("""SELECT c_custkey, greatest(least(c_acctbal, 5000.0), 0.0) AS held FROM customer""")
+def registered_function(spark, sf_dir):
+    registry.register_scalar("clamp", lambda x, low, high: F.greatest(F.least(x, high), low))
+    return project(table(spark, sf_dir, "customer"), c_custkey=col("c_custkey"), held=E.call("clamp", col("c_acctbal"), 0.0, 5000.0))
+
+
+@query("SELECT s_nationkey, max(s_acctbal) - min(s_acctbal) AS spread FROM supplier GROUP BY s_nationkey")
+def registered_aggregate(spark, sf_dir):
+    registry.register_aggregate("spread", lambda x: F.max(x) - F.min(x))
+    return table(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(registry.aggregate("spread", F.col("s_acctbal")).alias("spread"))
+
+
+@query("SELECT count(*) AS row_count, max(l_quantity) - min(l_quantity) AS width FROM lineitem")
+def statistics_expressions(spark, sf_dir):
+    s = pruning.file_stats(table(spark, sf_dir, "lineitem"), ["l_quantity"])
+    known = project(s, n=E.row_count(), lo=E.stat("l_quantity", "min"), hi=E.stat("l_quantity", "max"))
+    return known.agg(F.sum("n").alias("row_count"), (F.max("hi") - F.min("lo")).alias("width"))
+
+
+@query("SELECT o_orderkey FROM (SELECT *, row_number() OVER (ORDER BY o_orderkey) - 1 AS r FROM orders) t WHERE (r BETWEEN 10 AND 29 OR r = 77) AND o_totalprice > 20000")
+def repeated_scan(spark, sf_dir):
+    scan = RepeatedScan(ScanRequest(projection=["o_orderkey"], filter=col("o_totalprice") > 20000.0), spark, (f"{sf_dir}/orders.parquet",))
+    return scan.execute((10, 30)).unionByName(scan.execute((77, 78)))
+
+
 @query("SELECT n_nationkey AS k FROM nation UNION ALL SELECT r_regionkey FROM region")
 def chunk_concat(spark, sf_dir):
     return positional.concat([table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k")), table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("k"))])

@@ -6,14 +6,15 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.exprs import Expr
 from ..operators import positional
 from ..plans import pruning
-from ..plans.scan import ROW, numbered
+from ..plans.scan import ROW, listing, numbered
 
 
 def read(spark: SparkSession, *paths: str, schema: str | T.StructType | None = None, evolve: bool = False) -> DataFrame:
@@ -61,17 +62,29 @@ class WriteSummary:
 
 def write(df: DataFrame, path: str, partition_by: list[str] | None = None, mode: str = "errorifexists", zone_columns: list[str] | None = None) -> WriteSummary:
     """Writes a data set, in folders by the partition transforms, and for
-    zone_columns its zone map beside it (path + "_zones")."""
+    zone_columns its zone map beside it (path + "_zones"). The summary counts
+    the rows and files of this write; rows are counted on the way."""
     parts = [partition_value(t) for t in partition_by or []]
     made = df.withColumns({n: v for n, v in parts if n not in df.columns})
-    writer = made.write.mode(mode)
-    (writer.partitionBy(*(n for n, _ in parts)) if parts else writer).parquet(path)
     spark = df.sparkSession
-    back = spark.read.parquet(path)
+    before = 0
+    if mode == "append":
+        try:
+            before = len(spark.read.parquet(path).inputFiles())
+        except AnalysisException:
+            pass  # nothing is there yet
+    seen = Observation()
+    writer = made.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode(mode)
+    (writer.partitionBy(*(n for n, _ in parts)) if parts else writer).parquet(path)
+    back = spark.read.schema(made.schema).parquet(path)
     if zone_columns:
         pruning.zone_map(back, zone_columns).write.mode("overwrite").parquet(f"{path.rstrip('/')}_zones")
-    found = back.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("_metadata.file_path").alias("f")).first()
-    return WriteSummary(path, found.n, found.f)
+    return WriteSummary(path, seen.get["rows"], len(back.inputFiles()) - before)
+
+
+def truncate(spark: SparkSession, path: str) -> None:
+    """Leaves a data set of no rows, of the same columns."""
+    spark.createDataFrame([], spark.read.parquet(path).schema).write.mode("overwrite").parquet(path)
 
 
 class Dataset:
@@ -98,27 +111,43 @@ class Dataset:
     def head(self, n: int) -> pa.Table:
         return self.frame.limit(n).toArrow()
 
+    def taken(self, indices: list[int]) -> DataFrame:
+        """pos and the rows at the indices, which count all rows; a filter then
+        leaves out those that don't meet it."""
+        rows = positional.take(numbered(self.spark, list(self.paths)), ROW, indices)
+        return (rows if self._filter is None else rows.where(self._filter.bind(rows))).drop(ROW)
+
     def take(self, indices: list[int]) -> pa.Table:
-        rows = numbered(self.spark, list(self.paths))
-        return positional.take(rows, ROW, indices).orderBy("pos").drop("pos", ROW).toArrow()
+        return self.taken(indices).orderBy("pos").drop("pos").toArrow()
 
     def to_batches(self, rows: int = 8192) -> Iterator[pa.RecordBatch]:
-        """Batches in turn; the driver holds one partition at a time."""
-        held: list[dict] = []
-        for row in self.frame.toLocalIterator():
-            held.append(row.asDict(recursive=True))
-            if len(held) == rows:
-                yield pa.RecordBatch.from_pylist(held)
-                held = []
-        if held:
-            yield pa.RecordBatch.from_pylist(held)
+        """Batches of at most `rows` rows in turn, all of the frame's schema;
+        they cross to the driver as Arrow, one partition at a time."""
+        df = self.frame
+
+        def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for at in range(0, batch.num_rows, rows):
+                    sink = pa.BufferOutputStream()
+                    with pa.ipc.new_stream(sink, batch.schema) as out:
+                        out.write_batch(batch.slice(at, rows))
+                    yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()])], ["ipc"])
+
+        for row in df.mapInArrow(packed, "ipc binary").toLocalIterator():
+            yield from pa.ipc.open_stream(row.ipc)
+
+    def can_prune(self, e: Expr, zones: str) -> bool:
+        """Whether the zone map at `zones` proves that e keeps nothing of the set."""
+        return pruning.keep(self.spark.read.parquet(zones), e).isEmpty()
+
+    def splits(self) -> list[Dataset]:
+        return self.get_fragments()
 
     def to_table(self, columns: list[str] | None = None) -> pa.Table:
         return (self.frame.select(*columns) if columns else self.frame).toArrow()
 
     def get_fragments(self) -> list[Dataset]:
-        files = self.spark.read.parquet(*self.paths).select(F.col("_metadata.file_path").alias("f")).distinct().collect()
-        return [Dataset(self.spark, f, filter=self._filter) for f in sorted(r.f for r in files)]
+        return [Dataset(self.spark, f, filter=self._filter) for f in listing(self.spark, list(self.paths))]
 
     def statistics(self, table: str) -> DataFrame:
         """Registers the set as a table and has its columns analysed."""
