@@ -2,11 +2,14 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
 as Parquet and read again as the next stage's documents.
+
+In every stage a null text counts as empty, rows repeated with their id are
+documents of their own unless near_dedup makes them one, a null id is an id like
+any other, further columns go along, and an empty table gives an empty one.
 """
 
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from larkspur.llm.near_dedup import drop_near_duplicates
@@ -40,6 +43,8 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the documents and their places in sequences of 2048 tokens (operator 4)."""
+    import public_tokenizers
+
     return pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
