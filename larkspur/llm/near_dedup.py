@@ -392,8 +392,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, recall:
 
 def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, recall: float = RECALL) -> DataFrame:
     """The documents, all columns, one row of each group: of the least id (a
-    null id only if there is no other), whatever else has that id. Rows without
-    shingles are groups of their own."""
+    null id only if there is no other), whatever else has that id; of rows that
+    agree in id and text one stays. Rows without shingles are groups of their own."""
     scratch = Scratch(docs.sparkSession, "near-dedup")
     table, of_class = _grouped(texts_of(docs), words, percent, recall, scratch)
     rows = table.where("set_key is not null").groupBy("doc_id", "h").agg(F.first("set_key").alias("set_key"), F.count(F.lit(1)).alias("n"))

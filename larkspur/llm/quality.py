@@ -189,7 +189,8 @@ def resample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, see
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, seed: int = 8) -> DataFrame:
-    """The documents, all columns, that the resampling keeps (see resample).
+    """The documents, all columns, that the resampling keeps (see resample):
+    exactly k rows, null ids, empty texts and repeated rows among them.
     Keys are made again where the documents are, which costs less than a copy of
     all texts on disk would."""
     _, drawn, made = _draw(docs, labels, per_class, seed, None, "doc_id", "text")

@@ -135,7 +135,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, hel
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
-    """The documents, all columns, that aren't predicted to be toxic."""
+    """The documents, all columns, that aren't predicted to be toxic. Rows alike
+    in text fare alike; a null or empty text stays unless the bias alone says
+    toxic; without labels of both classes all stay."""
     model = train(texts_of(docs), labels, per_class)
     return docs.where(score_column(docs.sparkSession, model, docs["text"]) < 0.5)
 
