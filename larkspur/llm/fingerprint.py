@@ -1,12 +1,13 @@
 """Operator 3: document fingerprints by consistent weighted sampling.
 
-A document is a set of terms (lower-cased words) weighted by their counts. Each
-of SAMPLES independent samples draws, for every term, r and c from Gamma(2, 1)
-and beta from U(0, 1), all from hashes of the term, and takes the term with the
-least ln c - r * (floor(ln w / r + beta) - beta + 1). That value depends only on
-the term and the quantised weight, so that two documents agree in a sample with
-the probability of their generalised Jaccard similarity (sum of least weights by
-sum of greatest). A fingerprint holds 16 bits of each sample.
+A document is a set of terms (lower-cased words) weighted by their counts. As
+weights are whole numbers, it is also the set of its occurrences: a term's nth,
+for n from 1 to its count. Each of SAMPLES independent samples gives every
+occurrence a hash and takes the least one. That hash depends only on the term
+and n, and the plain Jaccard similarity of two sets of occurrences is the
+generalised one of the weights (sum of least weights by sum of greatest), so
+that two documents agree in a sample with the probability of that similarity.
+A fingerprint holds 16 bits of each sample.
 
 Everything is a DataFrame expression. Documents are dealt once, by ranges of
 doc_id whose borders are approximate quantiles; the first document of each range
@@ -74,18 +75,10 @@ def _array(values: list[int], kind: str) -> Column:
     return F.from_json(F.lit(str(values)), f"array<{kind}>")
 
 
-def _uniform(bits: Column) -> Column:
-    return (bits + 0.5) * (2.0**-32)
-
-
-def sample(term: Column, log_weight: Column, k: int) -> Column:
-    """What sample k minimises."""
-    low = F.lit(0xFFFFFFFF)
-    h1, h2 = F.xxhash64(term, F.lit(2 * k)), F.xxhash64(term, F.lit(2 * k + 1))
-    r = -F.log(_uniform(h1.bitwiseAND(low)) * _uniform(F.shiftrightunsigned(h1, 32)))
-    log_c = F.log(-F.log(_uniform(h2.bitwiseAND(low)) * _uniform(F.shiftrightunsigned(h2, 32))))
-    beta = F.shiftrightunsigned(h1.bitwiseXOR(F.shiftleft(h2, 7)), 11) * (2.0**-53)
-    return log_c - r * (F.floor(log_weight / r + beta) - beta + 1)
+def sample(occurrence: Column, k: int) -> Column:
+    """What sample k minimises: half of a 64-bit hash, each of which serves two samples."""
+    h = F.xxhash64(F.lit(k // 2), occurrence)
+    return F.shiftrightunsigned(h, 32) if k % 2 else h.bitwiseAND(F.lit(0xFFFFFFFF))
 
 
 def terms(text: Column) -> Column:
@@ -134,9 +127,10 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     high, low = (F.conv(F.substring("word", at, 8), 16, 10).cast("long") for at in (3, 11))
     value = value.otherwise(F.shiftleft(high, 32).bitwiseOR(low))
     counted = words.select("range", (F.col("item") * 8 + kind).alias("key"), value.alias("term")).groupBy("range", "key", "term").agg(F.count(F.lit(1)).alias("w"))
-    weighted = counted.select("range", F.shiftright("key", 3).alias("item"), F.col("key").bitwiseAND(F.lit(7)).cast("int").alias("kind"), "term", F.log(F.col("w").cast("double")).alias("log_weight"))
+    occurrences = counted.select("range", "key", "term", F.explode(F.sequence(F.lit(1).cast("long"), F.col("w"))).alias("nth"))
+    weighted = occurrences.select("range", F.shiftright("key", 3).alias("item"), F.col("key").bitwiseAND(F.lit(7)).cast("int").alias("kind"), "term", F.xxhash64("term", "nth").alias("occurrence"))
     is_term = F.col("kind") == 0
-    minima = [F.min(F.when(is_term, sample(F.col("term"), F.col("log_weight"), k))).alias(f"s{k}") for k in range(SAMPLES)]
+    minima = [F.min(F.when(is_term, sample(F.col("occurrence"), k))).alias(f"s{k}") for k in range(SAMPLES)]
     values = [F.max(F.when(F.col("kind") == i + 1, F.col("term"))).alias(f"v{i}") for i in range(7)]
     sampled = weighted.groupBy("range", "item").agg(*minima, *values)
     signature = F.array(*(F.xxhash64(f"s{k}").bitwiseAND(F.lit(0xFFFF)) for k in range(SAMPLES)))

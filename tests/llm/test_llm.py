@@ -178,6 +178,33 @@ def test_fingerprint_successors_with_hot_and_null_ids(spark, monkeypatch):
     assert sorted(((r.doc_id, r.edited_sha256) for r in got), key=str) == sorted(want, key=str)
 
 
+def test_fingerprints_take_the_least_hash_of_all_occurrences(spark):
+    import xxhash
+
+    def h(value, seed=42):
+        return xxhash.xxh64_intdigest(value, seed)
+
+    def want(text):
+        words = Counter(text.lower().split())
+        every = [h(n.to_bytes(8, "little"), h(h(word.encode()).to_bytes(8, "little"))) for word, w in words.items() for n in range(1, w + 1)]
+        out = ""
+        for k in range(fingerprint.SAMPLES):
+            hashes = (h(x.to_bytes(8, "little"), h((k // 2).to_bytes(4, "little"))) for x in every)
+            least = min(x >> 32 if k % 2 else x & 0xFFFFFFFF for x in hashes)
+            out += f"{h(least.to_bytes(8, 'little')) & 0xFFFF:04x}"
+        return out
+
+    rows = [(1, "one two three"), (2, "one one one two"), (3, "ONE " * 300 + "two"), (4, made_text(80))]
+    df = fingerprint.fingerprints(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id: r.fingerprint for r in df.collect()} == {doc: want(text) for doc, text in rows}
+
+
+def test_fingerprints_draw_without_logarithms(docs):
+    """Three of them for each sample of each term took most of the time."""
+    plan = fingerprint.fingerprints(docs)._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "xxhash64(" in plan and "ln(" not in plan and "log(" not in plan
+
+
 def test_fingerprints_are_native(docs):
     plan = fingerprint.fingerprints(docs)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
