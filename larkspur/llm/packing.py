@@ -30,21 +30,23 @@ import re
 import zlib
 from collections import defaultdict
 from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe_merge import PairTable, merge_words
+from .memory import WIDTH, Memory, Runs, Table, in_places, raw_of
 from .shared import Scratch, is_plain, map_arrow, texts_of
 
 #: The word split over lower-cased texts for which is_plain() holds.
 WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
 WORDS_AND_ENDS = re.compile(WORDS.pattern + r"|\n")
-END = b"\xff\xff\xff\xff"
-#: Chunks, and words, that a worker remembers; longer ones than LONG aren't.
-CACHE, LONG = 250_000, 64
+#: Chunks, longer chunks (to 8 LONG - 1 bytes) and words that a worker remembers, besides as many from before.
+CACHE, LONG = 250_000, 9
 #: Share of a sequence from which a length counts as large, and the number of groups.
 LARGE, GROUPS = 1 / 3, 24
 
@@ -67,9 +69,9 @@ class WordEncoder:
         #: Only this scheme (lower case, white space dropped) splits as WORDS does.
         self.split = kinds == ["NFC", "Replace", "Lowercase"] and pre == ["Removed", False]
         self.specials = [t["content"] for t in spec.get("added_tokens", [])]
-        self.known: dict[bytes, bytes] = {}
-        self.older: dict[bytes, bytes] = {}
-        self.merged: dict[str, bytes] = {"\n": END}
+        # longer chunks, which other scripts have, by themselves: their rows are wider
+        self.longer = Memory(self._chunks, CACHE, 8 * WIDTH, LONG)
+        self.chunks, self.words = Memory(self.longer.each, CACHE), Memory(self._words, CACHE)
         if self.split:
             vocab, pairs = spec["model"]["vocab"], {}
             for rank, merge in enumerate(spec["model"]["merges"]):
@@ -83,18 +85,21 @@ class WordEncoder:
             self.inner = np.array([vocab[sign[b]] for b in range(256)], np.int32)
             self.last = np.array([vocab[sign[b] + end] for b in range(256)], np.int32)
 
-    def words(self, words: list[str]) -> list[bytes]:
+    @property
+    def known(self) -> Table:
+        return self.chunks.known
+
+    @property
+    def older(self) -> Table:
+        return self.chunks.older
+
+    def _words(self, words: pa.Array) -> Runs:
         """Ids of single words, all merged together."""
-        if not words:
-            return []
-        coded = [w.encode() for w in words]
-        lens = np.fromiter(map(len, coded), np.int64, len(coded))
-        raw = np.frombuffer(b"".join(coded), np.uint8)
-        symbols, last = self.inner[raw], np.cumsum(lens) - 1
+        raw, borders = raw_of(words)
+        symbols, last = self.inner[raw], borders[1:] - 1
         symbols[last] = self.last[raw[last]]
-        ids, n = merge_words(symbols, lens, self.table)
-        flat, ends = ids.astype("<u4").tobytes(), (4 * np.cumsum(n)).tolist()
-        return [flat[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+        ids, n = merge_words(symbols, np.diff(borders), self.table)
+        return Runs(ids.astype(np.uint32), np.cumsum(n) - n, n)
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, "<u4").tobytes() for x in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
@@ -104,42 +109,36 @@ class WordEncoder:
         space, so a text is the sum of its chunks between that."""
         if not self.split:
             return self.whole([t.decode() for t in texts])
-        cut = [t.split() for t in texts]
-        parts = [list(map(self.known.get, chunks)) for chunks in cut]
-        holes = [[i for i, part in enumerate(p) if part is None] for p in parts]
-        learned = self.learn({chunks[i] for chunks, at in zip(cut, holes, strict=True) for i in at})
-        for chunks, part, at in zip(cut, parts, holes, strict=True):
-            for i in at:
-                part[i] = learned[chunks[i]]
-        return [b"".join(p) for p in parts]
-
-    def learn(self, chunks: set[bytes]) -> dict[bytes, bytes]:
-        """Ids of chunks that aren't known, and of those of their words."""
-        out = {c: self.older[c] for c in chunks if c in self.older}
-        fast = list(chunks - out.keys())
-        text = b"\n".join(fast).decode()
-        if not is_plain(text) or any(s in text for s in self.specials):
-            shown = [c.decode() for c in fast]
-            plain = [is_plain(t) and not any(s in t for s in self.specials) for t in shown]
-            odd = [c for c, p in zip(fast, plain, strict=True) if not p]
-            out.update(zip(odd, self.whole([c.decode() for c in odd]), strict=True))
-            fast = [c for c, p in zip(fast, plain, strict=True) if p]
-            text = b"\n".join(fast).decode()
-        if fast:
-            # all chunks at once, an id that no token has between them
-            words = WORDS_AND_ENDS.findall(text.lower())
-            new = list(set(words) - self.merged.keys())
-            if len(self.merged) + len(new) > CACHE:
-                new, self.merged = list(set(words) - {"\n"}), {"\n": END}
-            self.merged.update(zip(new, self.words(new), strict=True))
-            out.update(zip(fast, b"".join(map(self.merged.__getitem__, words)).split(END), strict=True))
-            for w in new:
-                if len(w) > LONG:
-                    del self.merged[w]
-        if len(self.known) + len(out) > CACHE:
-            self.known, self.older = {}, self.known  # what is still in use comes back from there
-        self.known.update(out if max(map(len, out), default=0) <= LONG else {c: ids for c, ids in out.items() if len(c) <= LONG})
-        return out
+        cut = pc.ascii_split_whitespace(pa.array(texts, pa.large_binary()).view(pa.large_string()))
+        runs, which = self.chunks.runs(cut.values)
+        ids, borders = runs.spread(which)
+        flat, ends = ids.astype("<u4", copy=False).tobytes(), (4 * borders[cut.offsets.to_numpy()]).tolist()
+        return [flat[a:b] for a, b in pairwise(ends)]
+
+    def _chunks(self, chunks: pa.Array) -> Runs:
+        """Ids of chunks, from those of their words."""
+        shown = chunks.to_pylist()
+        if not self._is_plain("\n".join(shown)):
+            plain = np.fromiter(map(self._is_plain, shown), bool, len(shown))
+            odd = [np.frombuffer(x, "<u4") for x in self.whole([c for c, p in zip(shown, plain, strict=True) if not p])]
+            size = np.fromiter(map(len, odd), np.int64, len(odd))
+            parts = [(np.flatnonzero(~plain), Runs(np.concatenate([np.zeros(0, np.uint32), *odd]), np.cumsum(size) - size, size))]
+            if plain.any():
+                parts.append((np.flatnonzero(plain), self._plain([c for c, p in zip(shown, plain, strict=True) if p])))
+            return in_places(parts, len(shown))
+        return self._plain(shown)
+
+    def _is_plain(self, text: str) -> bool:
+        return is_plain(text) and not any(s in text for s in self.specials)
+
+    def _plain(self, chunks: list[str]) -> Runs:
+        # all chunks at once, a line break behind each
+        words = pa.array(WORDS_AND_ENDS.findall("\n".join([*chunks, ""]).lower()), pa.large_string())
+        ends = pc.equal(words, "\n")
+        runs, which = self.words.runs(words.filter(pc.invert(ends)))
+        flat, borders = runs.spread(which)
+        at = borders[np.flatnonzero(ends) - np.arange(len(chunks))]
+        return Runs(flat, np.r_[0, at[:-1]], np.diff(at, prepend=0))
 
 
 @lru_cache(maxsize=2)

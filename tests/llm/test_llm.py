@@ -8,10 +8,11 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from larkspur.llm import embeddings, fingerprint, labelled, licences, near_dedup, packing, quality, sentencepiece_codec, shared, suffixes, token_count, toxicity
+from larkspur.llm import embeddings, fingerprint, labelled, licences, memory, near_dedup, packing, quality, sentencepiece_codec, shared, suffixes, token_count, toxicity
 from larkspur.llm.components import components
 from larkspur.llm.shared import Scratch
 
@@ -234,6 +235,51 @@ def test_word_encoder_forgets_without_harm(monkeypatch):
     assert len(encoder.known) <= 60 and len(encoder.older) <= 60
 
 
+def test_word_encoder_merges_a_word_once(monkeypatch):
+    merged = []
+    real = packing.merge_words
+    monkeypatch.setattr(packing, "merge_words", lambda sym, lens, table: merged.append(len(lens)) or real(sym, lens, table))
+    monkeypatch.setattr(packing, "CACHE", 100)
+    encoder, draw = packing.WordEncoder(WORD), random.Random(6)
+    words = list(dict.fromkeys("".join(draw.choice("abcdefgh") for _ in range(7)) for _ in range(240)))
+    common, fresh, ends = words[:60], iter(words[60:]), ".?)!;"
+    for end in ends:  # the same words in other chunks, with so many new words that the table is full again and again
+        text = " ".join(w + end for w in [*common, *(next(fresh) for _ in range(30))])
+        assert encoder.encode([text.encode()]) == encoder.whole([text])
+    assert sum(merged) == len(common) + 30 * len(ends) + len(ends)
+
+
+def test_word_encoder_tells_chunks_apart():
+    encoder = packing.WordEncoder(WORD)
+    # lengths about that of what is remembered; equal beginnings; zero bytes; nothing
+    chunks = [c * n + d for most in (8 * memory.WIDTH, 8 * packing.LONG) for n in range(most - 4, most + 3) for c in ("a", "\x00") for d in ("", "b", "\x00", "é")] + ["a", "a\x00", "\x00", "", " "]
+    for _ in range(2):
+        assert encoder.encode([c.encode() for c in chunks]) == encoder.whole(chunks)
+    assert 0 < len(encoder.known) and 0 < len(encoder.longer.known) and len(encoder.known) + len(encoder.longer.known) < len(chunks)
+
+
+def test_memory_finds_all_in_a_full_table(monkeypatch):
+    monkeypatch.setattr(memory.Table, "_slot", lambda self, keys: np.zeros(len(keys), np.int64))  # every key collides
+    learnt = []
+
+    def learn(strings):
+        learnt.extend(strings.to_pylist())
+        values = [np.frombuffer(s.encode(), np.uint8).astype(np.uint32) for s in strings.to_pylist()]
+        size = np.array([len(v) for v in values], np.int64)
+        return memory.Runs(np.concatenate(values), np.cumsum(size) - size, size)
+
+    store = memory.Memory(learn, 40)
+    words = [f"{'x' * (k % 30)}{k}" for k in range(60)]
+    for batch in (words[:20], words[:40], words[20:], words[::-1], words[::2]):
+        runs, which = store.runs(pa.array(batch * 2, pa.large_string()))
+        flat, borders = runs.spread(which)
+        assert bytes(flat.astype(np.uint8)).decode() == "".join(batch * 2)
+        assert np.diff(borders).tolist() == [len(w) for w in batch * 2]
+        assert len(store.known) <= 40 and len(store.older) <= 40
+    short = [w for w in learnt if len(w) < 8 * memory.WIDTH]
+    assert len(short) == len(set(short))
+
+
 @pytest.mark.parametrize("which,ranked", [("rows", packing.RANKED), ("edges", packing.RANKED), ("rows", 2), ("edges", 1)])
 def test_packing_places_every_piece(docs, edges, rows, which, ranked):
     from tokenizers import Tokenizer
