@@ -211,8 +211,14 @@ def run_sql(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     return spark.sql(sql)
 
 
-#: Where the dialects differ.
-SPARK = {"wide_domain": SQL["wide_domain"].replace("'\\1'", "'$1'").replace("www\\.", "www\\\\.")}
+#: Where the dialects differ. Spark numbers the rows of a lateral LIMIT without their ORDER BY when a sort key isn't selected.
+SPARK = {
+    "wide_domain": SQL["wide_domain"].replace("'\\1'", "'$1'").replace("www\\.", "www\\\\."),
+    "lateral_topk": """
+        SELECT c_custkey, t.o_orderkey FROM customer JOIN (
+            SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC NULLS LAST, o_orderkey NULLS LAST) AS r FROM orders) t
+        ON t.o_custkey = c_custkey WHERE t.r <= 2""",
+}
 
 
 def queries():

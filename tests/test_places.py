@@ -1,4 +1,4 @@
-"""Joins by place and number against DuckDB, on rows that the given tables don't have."""
+"""Joins by place and number, and the first rows of a key, against DuckDB on rows that the given tables don't have."""
 
 import random
 
@@ -43,3 +43,12 @@ def odd(tmp_path_factory):
 def test_nearest_of_odd_rows(spark, odd, monkeypatch, chunk):
     monkeypatch.setattr(places, "CHUNK", chunk)
     same(spark, odd, "spatial_nearest", "customer", "supplier")
+
+
+def test_lateral_top_keeps_its_order(spark, tmp_path):
+    """Of 3000 orders a customer the two dearest, ties by key; nulls last."""
+    draw = random.Random(6)
+    orders = [(k, k % 8, float(draw.randint(0, 400))) for k in range(24000)] + [(None, 8, 9.0), (1, 8, 9.0), (2, 8, 9.0), (3, 8, None), (4, 9, None), (5, 9, float("nan")), (6, None, 1.0)]
+    draw.shuffle(orders)
+    path = stored(tmp_path, customer=(["c_custkey"], [(k,) for k in [*range(10), 3, None]]), orders=(["o_orderkey", "o_custkey", "o_totalprice"], orders))
+    same(spark, path, "lateral_topk", "customer", "orders")
