@@ -4,11 +4,15 @@ of the rows it has, makes larger than stated."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Points of a place that one task takes, or as many as there are sites.
 CHUNK = 65536
+#: Points and sites of a cell that are compared as one, and pairs that a task compares on average.
+BLOCK, PAIRS = 4096, 4_000_000
 
 
 def _first(rows: DataFrame, k: int, *by: str) -> DataFrame:
@@ -17,6 +21,11 @@ def _first(rows: DataFrame, k: int, *by: str) -> DataFrame:
     return rows.withColumn("rank", rank).where(F.col("rank") <= k).drop("rank")
 
 
+def _any(n: Column) -> Column:
+    """One of n parts for each row, whatever it holds."""
+    return F.pmod(F.xxhash64(F.monotonically_increasing_id()), n).cast("int")
+
+
 def nearest(points: DataFrame, sites: DataFrame, k: int) -> DataFrame:
     """(point, key) of the k sites of each point's place that are least by
     (abs(at - point's at), key), nulls last and NaN before them. Points (point,
@@ -54,7 +63,7 @@ def nearest(points: DataFrame, sites: DataFrame, k: int) -> DataFrame:
     chunks = max(1, -(-points.count() // max(CHUNK, sites.count())))
     none = F.lit(None).cast(points.schema["point"].dataType)
     marks = placed.where("pos > 0").select(none.alias("point"), "place", "at", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"), "pos")
-    dealt = points.where(f"NOT ({odd})").select("point", "place", "at", (F.monotonically_increasing_id() % chunks).cast("int").alias("chunk"), F.lit(None).cast("int").alias("pos"))
+    dealt = points.where(f"NOT ({odd})").select("point", "place", "at", _any(F.lit(chunks)).alias("chunk"), F.lit(None).cast("int").alias("pos"))
     passed = Window.partitionBy("place", "chunk").orderBy("at", F.col("pos").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
     located = dealt.unionByName(marks).withColumn("last", F.coalesce(F.max("pos").over(passed), F.lit(0))).where("pos IS NULL").select("point", "place", "at", F.col("last").alias("pos"))
     located = located.unionByName(points.where(odd).select("point", "place", "at", F.lit(-1).alias("pos")))
@@ -68,3 +77,37 @@ def nearest(points: DataFrame, sites: DataFrame, k: int) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("point", "place", "at").orderBy(F.col("d").asc_nulls_last(), F.col("key").asc_nulls_last()))
     rest = pairs.withColumn("rank", rank).where(F.col("rank") <= k).select("point", "key", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("copy"))
     return clear.unionByName(rest.drop("copy"))
+
+
+def within(points: DataFrame, sites: DataFrame, most: float, matches: str) -> DataFrame:
+    """(point, key) of the pairs of a place for which `matches` (of p.at and
+    s.at) holds; no pair does whose numbers are more than about `most` apart.
+
+    The line is cut into cells, four to eight in `most`; a site goes to all that it
+    can reach. Their width is a power of two, so that cells are exact. Cells of
+    more than BLOCK points or sites are compared block by block. The result
+    grows with the square of the input, and so does the number of tasks: each
+    compares about PAIRS pairs."""
+    width = 2.0 ** math.floor(math.log2(most / 4))
+    reach = math.floor(most / width) + 1
+    cell = F.expr(f"CAST(floor(greatest(least(at / {width!r}D, 1e15D), -1e15D)) AS BIGINT)")
+    some = "place IS NOT NULL AND at IS NOT NULL"
+    points = points.where(some).withColumn("cell", cell)
+    sites = sites.where(some).withColumn("cell", cell).withColumn("cell", F.explode(F.sequence(F.col("cell") - reach, F.col("cell") + reach)))
+
+    unit = ["place", "cell"]
+    counts = points.groupBy(*unit).agg(F.count("*").alias("p")).join(sites.groupBy(*unit).agg(F.count("*").alias("s")), unit)
+    blocks = counts.select(*unit, F.expr(f"CAST(ceil(p / {BLOCK}) AS INT)").alias("ps"), F.expr(f"CAST(ceil(s / {BLOCK}) AS INT)").alias("ss"))
+    heavy = F.broadcast(blocks.where("ps > 1 OR ss > 1"))  # (points + sites) / BLOCK rows at most
+    total = counts.agg(F.sum(F.col("p").cast("double") * F.col("s")).alias("pairs"), F.sum("p").alias("p"), F.sum("s").alias("s")).first()
+    n = min(100_000, 1 + int((total["pairs"] or 0) / PAIRS + ((total["p"] or 0) + (total["s"] or 0)) / CHUNK))
+
+    def dealt(rows: DataFrame, own: str, mine: str, theirs: str, others: str) -> DataFrame:
+        """Each row in one block of its own side, against all of the other."""
+        rows = rows.join(heavy, unit, "left").withColumn(mine, _any(F.coalesce(F.col(own), F.lit(1))))
+        return rows.withColumn(theirs, F.explode(F.sequence(F.lit(0), F.coalesce(F.col(others), F.lit(1)) - 1))).drop("ps", "ss")
+
+    keys = [*unit, "i", "j"]
+    left, right = dealt(points, "ps", "i", "j", "ss").repartition(n, *keys).alias("p"), dealt(sites, "ss", "j", "i", "ps").repartition(n, *keys).alias("s")
+    both = F.expr(" AND ".join(f"p.{k} = s.{k}" for k in keys) + f" AND ({matches})")
+    return left.join(right.hint("merge"), both).select("p.point", "s.key")

@@ -139,9 +139,14 @@ def spatial_nearest(spark, sf_dir):
     return places.nearest(*_places(spark, sf_dir), 3).toDF("c_custkey", "s_suppkey")
 
 
+def spatial_join_within(spark, sf_dir):
+    # within a nation the second difference is 0
+    return places.within(*_places(spark, sf_dir), 150.0, "sqrt(power(p.at - s.at, 2)) <= 150").toDF("c_custkey", "s_suppkey")
+
+
 def queries():
     found = {name: (lambda spark, sf_dir, sql=SPARK.get(name, sql): run_sql(spark, sf_dir, sql)) for name, sql in SQL.items()}
-    return found | {"spatial_nearest": spatial_nearest}
+    return found | {"spatial_nearest": spatial_nearest, "spatial_join_within": spatial_join_within}
 
 
 def oracle_sql() -> dict[str, str]:

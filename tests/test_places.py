@@ -6,6 +6,7 @@ import duckdb
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from larkspur import queries as library
 from larkspur.operators import places
@@ -52,3 +53,21 @@ def test_lateral_top_keeps_its_order(spark, tmp_path):
     draw.shuffle(orders)
     path = stored(tmp_path, customer=(["c_custkey"], [(k,) for k in [*range(10), 3, None]]), orders=(["o_orderkey", "o_custkey", "o_totalprice"], orders))
     same(spark, path, "lateral_topk", "customer", "orders")
+
+
+@pytest.mark.parametrize("block", [3, places.BLOCK])
+def test_within_of_odd_rows(spark, odd, monkeypatch, block):
+    monkeypatch.setattr(places, "BLOCK", block)
+    same(spark, odd, "spatial_join_within", "customer", "supplier")
+
+
+def test_within_is_dealt_by_cells_and_blocks(spark, tmp_path, monkeypatch):
+    """Rows of one nation, and of one number, are compared in many tasks."""
+    monkeypatch.setattr(places, "BLOCK", 50)
+    monkeypatch.setattr(places, "PAIRS", 5000)
+    customers, suppliers = [(k, 7, 10.0 if k % 2 else k * 3.0) for k in range(600)], [(k, 7, 10.0 if k % 2 else k * 9.0) for k in range(200)]
+    path = stored(tmp_path, customer=(["c_custkey", "c_nationkey", "c_acctbal"], customers), supplier=(["s_suppkey", "s_nationkey", "s_acctbal"], suppliers))
+    same(spark, path, "spatial_join_within", "customer", "supplier")
+    rows = QUERIES["spatial_join_within"](spark, path).groupBy(F.spark_partition_id()).count().collect()
+    assert len(rows) > 5
+    assert max(r["count"] for r in rows) < sum(r["count"] for r in rows) / 3
